@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from millrace.llm import heavy, pairs
+from millrace.llm import heavy, pairs, tokens
 
-MODULES = (pairs, heavy)
+MODULES = (pairs, heavy, tokens)
