@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from millrace.llm import heavy, pairs, tokens
+from millrace.llm import heavy, pairs, stuffing, tokens
 
-MODULES = (pairs, heavy, tokens)
+MODULES = (pairs, heavy, tokens, stuffing)
