@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from millrace.llm import heavy, pairs, stuffing, tokens
+from millrace.llm import heavy, leaks, pairs, stuffing, tokens
 
-MODULES = (pairs, heavy, tokens, stuffing)
+MODULES = (pairs, heavy, tokens, leaks, stuffing)
