@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from millrace.llm import abuse, heavy, leaks, pairs, stuffing, tokens
+from millrace.llm import abuse, heavy, leaks, pairs, privacy, stuffing, tokens
 
-MODULES = (pairs, heavy, tokens, leaks, stuffing, abuse)
+MODULES = (pairs, heavy, tokens, leaks, stuffing, abuse, privacy)
