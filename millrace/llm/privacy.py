@@ -39,7 +39,7 @@ _ID_WORDS = frozenset("ssn dni nif nie passport ausweis personalausweis reisepas
 _PHONE_WORDS = frozenset("tel telephone phone call ring whatsapp number mobile cell fax text sms ruf anrufen telefon handy llama teléfono móvil answers reach dial nummer printer ask".split())
 _OTHER_WORDS = frozenset("order part ticket isbn issn invoice version item serial train platform score price went from to no parcel tracking track code model episode chapter page pages lot sku ref reference flight line room wins rechnung bestellung pedido factura bestellnummer artikel".split())
 _FIRM_WORDS = frozenset("prize award cup medal trophy street road lane avenue square bridge ltd limited inc gmbh bros brothers sons co company bank works bakery hotel theatre school university festival fc united station".split())
-_TITLES = frozenset("mr mrs ms miss dr prof professor herr frau señor señora sr sra don doña sir madam captain rev lady lord".split())
+_TITLES = frozenset("mr mrs ms miss dr prof professor herr frau señor señora senor senora sr sra don doña dona sir madam captain rev lady lord".split())
 _DIGIT_WORDS = "oh|zero|one|two|three|four|five|six|seven|eight|nine|double|triple|hundred|null|eins|zwei|drei|vier|fünf|sechs|sieben|acht|neun|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve"
 _STREETS = r"street|st|road|rd|avenue|ave|lane|ln|drive|dr|close|court|ct|way|square|sq|place|terrace|crescent|row|gardens|hill|walk|mews|grove|parade|boulevard|blvd|alley"
 
