@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.names import plain
+from millrace.llm.sampling import bounded_sample
 from millrace.sources.tables import table
 
 #: Labelled rows that the classifier is fitted on at most (those with the smallest hash of the id).
@@ -257,7 +258,7 @@ def labelled(messages: DataFrame, key: str, text: str, labels: DataFrame, label_
 
     Null labels are left out; of several messages of a key the longest is taken.
     """
-    chosen = labels.where(F.col(label).isin(0, 1) & F.col(label_key).isNotNull()).select(F.col(label_key).alias("k"), F.col(label).alias("y")).orderBy(F.xxhash64("k"), "y").limit(sample)
+    chosen = bounded_sample(labels.where(F.col(label).isin(0, 1)).select(F.col(label_key).alias("k"), F.col(label).alias("y")), "k", sample)
     own = messages.select(F.col(key).alias("k"), F.col(text).alias("m")).where(F.col("m").isNotNull())
     rows = own.join(F.broadcast(chosen), "k").groupBy("k").agg(F.max(F.struct(F.length("m"), "m"))["m"].alias("m"), F.max("y").alias("y"))
     return sorted((r["k"], r["m"], r["y"]) for r in rows.collect())

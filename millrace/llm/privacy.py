@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.boosting import Boosted
+from millrace.llm.sampling import bounded_sample
 from millrace.sources.tables import table
 
 KINDS = ("email", "phone", "id_number", "address", "person_name")
@@ -390,7 +391,7 @@ class Redactor:
 
 def fitted(messages: DataFrame, text: str, names: DataFrame, name: str) -> Redactor:
     """A redactor whose word lists come from bounded samples of the names and the messages."""
-    some = lambda df, c, n: [r[0] for r in df.select(F.col(c).alias("v")).where(F.col("v").isNotNull()).orderBy(F.xxhash64("v"), "v").limit(n).collect()]
+    some = lambda df, c, n: [r[0] for r in bounded_sample(df.select(F.col(c).alias("v")), "v", n).collect()]
     return Redactor(Lexicon(some(names, name, NAMES), some(messages, text, WORDS)))
 
 
