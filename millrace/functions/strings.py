@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,8 +72,6 @@ def elt(n, *options) -> Column:
 
 def gbk_bytes(s) -> Column:
     """Bytes of a string in GBK (Spark's encode does not know it); unmappable characters become '?'."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def enc(v: pd.Series) -> pd.Series:
         return v.map(lambda x: None if x is None else x.encode("gbk", "replace"))

@@ -99,11 +99,8 @@ def _(t):
 
 
 C.sql("is_true", "lineitem", f"SELECT {_K}, CAST(((nullif(l_returnflag, 'N') = 'A') IS TRUE) AS INT) AS t, CAST(((nullif(l_returnflag, 'N') = 'A') IS NOT TRUE) AS INT) AS f FROM lineitem")
-C.sql("row_compare", "nation", "SELECT n_nationkey FROM nation WHERE (n_nationkey, n_regionkey) = (SELECT max(n_nationkey), 3 FROM nation WHERE n_regionkey = 3)", "SELECT n_nationkey FROM nation WHERE n_nationkey = (SELECT max(n_nationkey) FROM nation WHERE n_regionkey = 3) AND n_regionkey = 3")
-QUERIES.pop("row_compare")
 
-
-@C.add("row_compare", ORACLES["row_compare"])
+@C.add("row_compare", "SELECT n_nationkey FROM nation WHERE n_nationkey = (SELECT max(n_nationkey) FROM nation WHERE n_regionkey = 3) AND n_regionkey = 3")
 def _(t):
     top = t.nation.where("n_regionkey = 3").agg(F.max("n_nationkey").alias("a")).select("a", F.lit(3).alias("b"))
     return t.nation.join(F.broadcast(top), F.struct("n_nationkey", "n_regionkey") == F.struct("a", "b"), "left_semi").select("n_nationkey")
@@ -143,11 +140,8 @@ def _(t):
 
 
 C.sql("unary_minus_not", "orders", "SELECT o_orderkey, -(o_custkey + 1) * -2 AS m, CAST((o_custkey % 2 = 0) AS INT) AS no FROM orders")
-C.sql("scalar_subquery_select", "nation region", "SELECT n_name, (SELECT r_name FROM region WHERE r_regionkey = n_regionkey) AS r_name FROM nation", "SELECT n_name, r_name FROM nation LEFT JOIN region ON r_regionkey = n_regionkey")
-QUERIES.pop("scalar_subquery_select")
-
 
-@C.add("scalar_subquery_select", ORACLES["scalar_subquery_select"])
+@C.add("scalar_subquery_select", "SELECT n_name, r_name FROM nation LEFT JOIN region ON r_regionkey = n_regionkey")
 def _(t):
     # a correlated scalar subquery on a unique key is a left join
     return t.nation.join(rel.small(t.region), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_name", "r_name")
