@@ -41,7 +41,7 @@ THRESHOLD = 0.5
 BLOCK = 64
 #: Rounds of editing the examples at most, the count that a term's odds start with, what the sum
 #: of the odds counts for (neighbouring pairs repeat one another), and the log odds of a label.
-ROUNDS, SMOOTH, DAMP, LABEL = 8, 0.3, 0.5, 3.5
+ROUNDS, SMOOTH, DAMP, LABEL = 8, 0.3, 0.6, 6.0
 #: Examples that must have a term, and the weight in the norm of a word that fewer have.
 LEAST_DF, OTHER = 2, 1.5
 #: Entries of a worker's memo of statements and words before it is dropped.
