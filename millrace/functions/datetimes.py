@@ -72,7 +72,7 @@ def format_time(us, fraction: bool = False) -> Column:
 
 
 def sec_to_time(n, fraction: bool = False) -> Column:
-    return format_time(F.round(_c(n) * 1_000_000).cast("long"), fraction)
+    return format_time(F.round(_c(n).cast("decimal(20,6)") * 1_000_000).cast("long"), fraction)
 
 
 def time_to_sec(t) -> Column:

@@ -23,31 +23,30 @@ def load(
     Bad rows (a value that does not fit its type, too few or too many fields) are left out, and
     written to ``reject_path`` if given; TooManyRejects is raised at ``abort_count`` bad rows
     or more (0: at the first) or at ``abort_share`` of all rows or more. Empty files give no row.
+    Only the ``null`` mark is NULL; an empty field is an empty string, except that beside quoted
+    fields of the same line it is NULL unless it is quoted itself.
     """
     names = columns or schema.fieldNames()
     fields = [schema[c] if c in schema.fieldNames() and not (set_ and c in set_) else T.StructField(c, T.StringType()) for c in names]
     read = T.StructType([*fields, T.StructField("_bad", T.StringType())])
-    options = {"sep": sep, "quote": quote, "escape": escape, "nullValue": null, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "emptyValue": ""}
-    if line:
-        options["lineSep"] = line
-    if skip == 1:
-        options["header"] = "true"
-        options["enforceSchema"] = "true"
-    if skip > 1:
-        # line numbers are known where a file is one split: each file's first lines are dropped there
-        text = spark.read.option("wholetext", "false").text(path).withColumn("_file", F.input_file_name()).withColumn("_n", F.monotonically_increasing_id())
-        first = text.groupBy("_file").agg(F.min("_n").alias("_first"))
-        lines = text.join(F.broadcast(first), "_file").where(F.col("_n") >= F.col("_first") + skip).select("value")
-        parsed = lines.select(F.from_csv("value", read.simpleString()[7:-1].replace(":", " ").replace(",", ", "), {k: v for k, v in options.items() if k != "lineSep"}).alias("r")).select("r.*")
-    else:
-        parsed = spark.read.schema(read).options(**options).csv(path)
+    mark = quote or "\x01"
+    options = {"sep": sep, "quote": mark, "escape": escape, "nullValue": null, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "emptyValue": ""}
+    text = (spark.read.option("lineSep", line) if line else spark.read).text(path)
+    if skip:
+        # the first block of a file holds its first lines; their numbers rise inside the block
+        at = text.select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_n"))
+        first = at.where("_b = 0").groupBy("_f").agg(F.min("_n").alias("_first"))
+        text = at.join(first, "_f", "left").where((F.col("_b") > 0) | (F.col("_n") >= F.col("_first") + skip)).select("value")
+    # an empty field is an empty string; the parser only sees that where it is quoted
+    place = f"(?<=^|\\Q{sep}\\E)(?=\\Q{sep}\\E|$)"
+    value = F.when(F.instr("value", mark) > 0, F.col("value")).otherwise(F.regexp_replace("value", place, mark + mark))
+    parsed = text.select(F.from_csv(value, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read), options).alias("r")).select("r.*")
     if reject_path or abort_count is not None or abort_share is not None:
-        # the corrupt column alone cannot be queried from the raw file: all columns are read in one scan
-        facts = parsed.select(*names, "_bad").agg(F.count(F.lit(1)).alias("n"), F.count("_bad").alias("bad"), *[F.count(c).alias(f"_{i}") for i, c in enumerate(names)]).first()
+        facts = parsed.agg(F.count(F.lit(1)).alias("n"), F.count("_bad").alias("bad")).first()
         if abort_count is not None and facts["bad"] > 0 and facts["bad"] >= abort_count or abort_share is not None and facts["bad"] > 0 and facts["bad"] >= abort_share * facts["n"]:
             raise TooManyRejects(f"{facts['bad']} of {facts['n']} rows")
         if reject_path:
-            parsed.select(*names, "_bad").where(F.col("_bad").isNotNull()).select("_bad").write.mode("overwrite").text(reject_path)
+            parsed.where(F.col("_bad").isNotNull()).select("_bad").write.mode("overwrite").text(reject_path)
     good = parsed.where(F.col("_bad").isNull()).drop("_bad")
     out = []
     for f in schema.fields:
@@ -64,4 +63,4 @@ def export(df: DataFrame, path: str, *, sep: str = "\t", quote: str = "", escape
     ``types``: columns that are cast before they are written.
     """
     df = df.select(*[F.col(c).cast(types[c]).alias(c) if types and c in types else F.col(c) for c in df.columns])
-    df.write.mode("overwrite").options(sep=sep, quote=quote, escape=escape, nullValue=null, emptyValue="", timestampNTZFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(path)
+    df.write.mode("overwrite").options(sep=sep, quote=quote, escape=escape, nullValue=null, emptyValue=quote + quote, timestampNTZFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(path)
