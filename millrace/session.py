@@ -35,3 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over at least as many partitions as there are cores.
+
+    Small files give one partition, and a Python operator would then run in one task. Rows are
+    dealt out only where the scan has fewer partitions than the cluster has cores; a scan of many
+    splits stays as it is, without a shuffle. Not for plans with a shuffle (they would run here).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
