@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.names import plain
 from millrace.llm.sampling import bounded_sample
+from millrace.session import spread
 from millrace.sources.tables import table
 
 #: Labelled rows that the classifier is fitted on at most (those with the smallest hash of the id).
@@ -276,7 +277,7 @@ def score_messages(messages: DataFrame, key: str, text: str, examples: list[tupl
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([e.score(m) for m in b.column(1).to_pylist()], pa.float64())], ["key", "score"])
 
-    return messages.select(key, text).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    return spread(messages.select(key, text)).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:

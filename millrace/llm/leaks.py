@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.scans import fold
+from millrace.session import spread
 from millrace.sources.tables import table
 
 #: Items whose windows are broadcast at once; more items are scanned in further blocks.
@@ -233,7 +234,7 @@ def leaked(pages: DataFrame, key: str, text: str, items: DataFrame, item_key: st
                         found.append(index.ids[i])
                 yield pa.RecordBatch.from_pydict({"a": pa.array(keys, batch.schema.field(0).type), "b": pa.array(found)} if keys else {"a": pa.array([], batch.schema.field(0).type), "b": pa.array([], pa.int64())})
 
-        part = pages.select(key, text).mapInArrow(run, f"a {kinds[0]}, b {kinds[1]}")
+        part = spread(pages.select(key, text)).mapInArrow(run, f"a {kinds[0]}, b {kinds[1]}")
         parts = part if parts is None else parts.unionByName(part)
     return parts.select(F.col("a").alias(key), F.col("b").alias(item_key))
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.boosting import Boosted
 from millrace.llm.sampling import bounded_sample
+from millrace.session import spread
 from millrace.sources.tables import table
 
 KINDS = ("email", "phone", "id_number", "address", "person_name")
@@ -52,7 +53,7 @@ _EMAIL = re.compile(
 _NUMBER = re.compile(r"(?<![\w/#])(?:\+?\(?\d[\d \t().\-/]{4,}\d(?:[ -]?[A-Za-z]\b)?|[A-Za-z]{1,2}[ -]?\d[\d \-]{4,}\d(?:[ -]?[A-Za-z]\b)?)(?!\w)")
 _SPOKEN = re.compile(rf"(?i)\b(?:(?:{_DIGIT_WORDS})\b[\s-]*){{5,}}")
 _ADDRESS_EN = re.compile(rf"(?i)(?<![\w.,/-])(?:(?:no|nr|apt|flat|unit)\.?\s+)?(\d{{1,4}}[a-z]?)(?:,\s*\d{{1,4}}[a-z]?)?,?\s+((?:[^\W\d_][\w'’\-]*\s+){{1,3}}?)({_STREETS})\b\.?")
-_ADDRESS_DE = re.compile(r"(?i)\b([^\W\d_][\w\-]*?(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|chaussee)|(?:am|an der|im|zum|zur)\s+[A-ZÄÖÜ][^\W\d_]+)\s+(?:nr\.?\s*)?(\d{1,4}\s?[a-z]?)\b(?:,\s*\d{4,5}\s+[^\W\d_][\w\-]+)?")
+_ADDRESS_DE = re.compile(r"(?i)\b([^\W\d_][\w\-]{0,60}?(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|chaussee)|(?:am|an der|im|zum|zur)\s+[A-ZÄÖÜ][^\W\d_]+)\s+(?:nr\.?\s*)?(\d{1,4}\s?[a-z]?)\b(?:,\s*\d{4,5}\s+[^\W\d_][\w\-]+)?")
 _ADDRESS_ES = re.compile(r"(?i)(?<!\w)(calle|c/|c\.|avenida|avda\.?|av\.|plaza|pza\.?|paseo|camino|ronda|travesía)\s*((?:(?:de|del|la|las|los|el)\s+)*[^\W\d_][\w'’\-]*(?:\s+(?:de|del|la|y)?\s*[^\W\d_][\w\-]*){0,2}?),?\s+(?:n[º°.o]*\s*)?(\d{1,4}[a-z]?)\b(?:,\s*\d{1,2}[º°]\s?[A-Za-z]?\b)?")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*\.?")
 _DIGIT = re.compile(r"\d")
@@ -412,7 +413,7 @@ def details(messages: DataFrame, key: str, text: str, redactor: Redactor) -> Dat
             redacted = [r.redact(m, s) if s else m for m, s in zip(rows, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(redacted, pa.string()), pa.array([sorted({k for *_, k in s}) for s in spans], pa.list_(pa.string()))], ["key", "redacted", "kinds"])
 
-    return messages.select(key, text).mapInArrow(run, f"key {kind}, redacted string, kinds array<string>").withColumnRenamed("key", key)
+    return spread(messages.select(key, text)).mapInArrow(run, f"key {kind}, redacted string, kinds array<string>").withColumnRenamed("key", key)
 
 
 def _details(spark: SparkSession, d: str) -> DataFrame:

@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import spread
 from millrace.sources.tables import table
 
 #: Folder of the public vocabularies; a parameter, never copied into the repository.
@@ -255,7 +256,7 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bp
             yield pa.RecordBatch.from_arrays([b.column(0), ids], ["key", "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
