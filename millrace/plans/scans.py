@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.plans.registry import Catalogue
 from millrace.session import cut
 from millrace.sources import delimited
+from millrace.sources.files import remove, shared_dir
 
 C = Catalogue()
 QUERIES, ORACLES = C.queries, C.oracles
@@ -48,50 +46,46 @@ def _(t):
     return t.spark.table("shadowed_nation")
 
 
-def _file() -> str:
-    return tempfile.mkdtemp(prefix="millrace-io-")
-
-
 @C.add("csv_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def _(t):
     # LOAD DATA of what INTO OUTFILE wrote; the rows are checkpointed, so the files can go
-    path = _file()
+    path = shared_dir(t.spark)
     n = t.nation.select("n_nationkey", "n_name", "n_regionkey")
     delimited.export(n, path, sep="|", quote='"')
     out = cut(delimited.load(t.spark, path, n.schema, sep="|", quote='"'))
-    shutil.rmtree(path, ignore_errors=True)
+    remove(t.spark, path)
     return out
 
 
 @C.add("csv_roundtrip_orders", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
 def _(t):
-    path = _file()
+    path = shared_dir(t.spark)
     o = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     delimited.export(o, path, sep="\t")
     out = cut(delimited.load(t.spark, path, o.schema, sep="\t"))
-    shutil.rmtree(path, ignore_errors=True)
+    remove(t.spark, path)
     return out
 
 
 @C.add("load_columns_defaults", "SELECT n_nationkey AS k, 'none' AS note, upper(n_name) AS name FROM nation")
 def _(t):
     # a list of the file's columns, a default for the rest, and SET with a computed value
-    path = _file()
+    path = shared_dir(t.spark)
     delimited.export(t.nation.select("n_nationkey", "n_name"), path, sep=",")
     schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("note", T.StringType()), T.StructField("name", T.StringType())])
     out = cut(delimited.load(t.spark, path, schema, sep=",", columns=["k", "v1"], defaults={"note": F.lit("none")}, set_={"name": F.upper("v1")}))
-    shutil.rmtree(path, ignore_errors=True)
+    remove(t.spark, path)
     return out
 
 
 @C.add("reject_guard", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 5 <> 0")
 def _(t):
     # every fifth key is written as text that is no number; the load rejects those rows and keeps the rest
-    path = _file()
+    path = shared_dir(t.spark)
     bad = F.when(F.col("n_nationkey") % 5 == 0, F.lit("x")).otherwise(F.col("n_nationkey").cast("string"))
     delimited.export(t.nation.select(bad.alias("k"), "n_name"), path, sep=";")
     out = cut(delimited.load(t.spark, path, t.nation.select("n_nationkey", "n_name").schema, sep=";", abort_share=0.5))
-    shutil.rmtree(path, ignore_errors=True)
+    remove(t.spark, path)
     return out
 
 
@@ -104,19 +98,19 @@ def _(t):
 
 @C.add("ctas", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
 def _(t):
-    path = _file()
+    path = shared_dir(t.spark)
     t.nation.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
     out = cut(t.spark.read.parquet(path))
-    shutil.rmtree(path, ignore_errors=True)
+    remove(t.spark, path)
     return out
 
 
 @C.add("partitioned_write", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P'")
 def _(t):
-    path = _file()
+    path = shared_dir(t.spark)
     t.orders.select("o_orderkey", "o_orderstatus").repartition("o_orderstatus").write.mode("overwrite").partitionBy("o_orderstatus").parquet(path)
     out = cut(t.spark.read.parquet(path).where("o_orderstatus = 'P'"))  # prunes to one directory
-    shutil.rmtree(path, ignore_errors=True)
+    remove(t.spark, path)
     return out
 
 

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import shutil
-import tempfile
-
 from pyspark.sql import functions as F
 
 from millrace.plans.registry import Catalogue
 from millrace.session import cut
+from millrace.sources.files import children, is_folder, remove, shared_dir
 from millrace.streaming import windows as W
 
 C = Catalogue()
@@ -45,29 +41,29 @@ def _stream(t, name: str):
     """The table's file or files as a stream."""
     path = f"{t.dir}/{name}.parquet"
     schema = t.spark.read.parquet(path).schema
-    if os.path.isdir(path):
+    if is_folder(t.spark, path):
         return t.spark.readStream.schema(schema).parquet(path)
     return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.dir)
 
 
 @C.add("stream_tumbling_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(t):
-    work = tempfile.mkdtemp(prefix="millrace-stream-")
+    work = shared_dir(t.spark)
     counts = W.tumbling(_stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", "event_type", late="1 hour")
     W.run_once(counts, lambda b, n: b.write.mode("overwrite").parquet(f"{work}/out/{n}"), f"{work}/state", mode="complete")
-    last = max(glob.glob(f"{work}/out/*"), key=lambda p: int(os.path.basename(p)))
-    out = cut(t.spark.read.parquet(last).withColumn("start", F.col("start").cast("timestamp_ntz")))
-    shutil.rmtree(work, ignore_errors=True)
+    last = max(map(int, children(t.spark, f"{work}/out")))
+    out = cut(t.spark.read.parquet(f"{work}/out/{last}").withColumn("start", F.col("start").cast("timestamp_ntz")))
+    remove(t.spark, work)
     return out
 
 
 @C.add("stream_upsert_latest", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def _(t):
-    work = tempfile.mkdtemp(prefix="millrace-stream-")
+    work = shared_dir(t.spark)
     W.run_once(_stream(t, "events").select("user_id", "event_id"), W.upsert_sink(f"{work}/out", ["user_id"], "event_id"), f"{work}/state")
-    last = max(glob.glob(f"{work}/out/v=*"), key=lambda p: int(p.rsplit("=", 1)[1]))
-    out = cut(t.spark.read.parquet(last))
-    shutil.rmtree(work, ignore_errors=True)
+    last = max(int(v[2:]) for v in children(t.spark, f"{work}/out"))
+    out = cut(t.spark.read.parquet(f"{work}/out/v={last}"))
+    remove(t.spark, work)
     return out
 
 
