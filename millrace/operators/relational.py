@@ -44,11 +44,12 @@ def spread_join(big: DataFrame, other: DataFrame, key: str, how: str = "inner",
     """Equi join of a skewed table: rows of keys above 1/hot_share of it are salted.
 
     The hot keys are at most ``hot_share`` (a proven bound, so their list is broadcast); their
-    partner rows are repeated once for each salt, all other rows are joined plainly.
+    partner rows are repeated once for each salt, all other rows are joined plainly. A salt comes
+    from the row and its partition, so that a task that runs again gives the same one.
     """
     total = big.count()
     hot = big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") * hot_share > total).select(F.col(key).alias("__hot"))
-    marked = big.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.floor(F.rand(7) * salts).cast("int")).otherwise(F.lit(0))).drop("__hot")
+    marked = big.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]) + F.spark_partition_id(), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("__hot")
     o = other.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
     o = o.withColumn("__salt", F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
     return marked.join(o, [key, "__salt"], how).drop("__salt")
