@@ -207,8 +207,8 @@ class Examples:
             if len(unwanted):
                 self.bound[t] = float(unwanted.max()) * self.idf[t]
 
-    def _search(self, terms: tuple[str, ...] | list[str]) -> float | None:
-        """Weighted vote of the nearest examples, or None where no unwanted one can reach MIN_COSINE."""
+    def _near(self, terms: tuple[str, ...] | list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The nearest examples and their cosines, or None where no unwanted one can reach MIN_COSINE."""
         norm2, bound, hit = 0.0, 0.0, []
         idf, limit = self.idf, self.bound
         for t in terms:
@@ -236,9 +236,26 @@ class Examples:
             return None
         if len(near) > NEIGHBOURS:
             near = near[np.argpartition(-cosine[near], NEIGHBOURS - 1)[:NEIGHBOURS]]
-        v = cosine[near] ** 2 * self.weight[near]
+        return near, cosine[near]
+
+    def _search(self, terms: tuple[str, ...] | list[str]) -> float | None:
+        """Weighted vote of the nearest examples, or None where no unwanted one can reach MIN_COSINE."""
+        found = self._near(terms)
+        if found is None:
+            return None
+        near, cosine = found
+        v = cosine**2 * self.weight[near]
         return float((v * self.share[near]).sum() / v.sum())
 
+    def evidence(self, message: str | None, most: int = 3) -> tuple[str, list[tuple[int, float]]] | None:
+        """The statement of a message with the highest score, and the labelled messages that speak for it."""
+        best = max(((self._search(self.terms(s)) or 0.0, s) for s in (statements(message) if message else ())), default=(0.0, ""))
+        if best[0] <= 0:
+            return None
+        near, cosine = self._near(self.terms(best[1]))
+        rank = sorted((-c, j) for j, c in zip(near, cosine, strict=True) if self.share[j] > 0.5)
+        return best[1], [(self.source[j], round(float(-c), 4)) for c, j in rank[:most]]
+
     def score(self, message: str | None) -> float:
         """Score of a message, 0 to 1; null, empty and blank ones have 0."""
         best = 0.0
@@ -254,6 +271,27 @@ class Examples:
         return best
 
 
+def calibration(rows: list[tuple[int, str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and the share of unwanted labels at them, rising: a quarter of the sample is scored by
+    the rest, and neighbouring scores are pooled until the shares rise."""
+    test, train = rows[::4], [r for i, r in enumerate(rows) if i % 4]
+    if not test or not train:
+        return np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    e = Examples(train)
+    same: dict[float, list[float]] = {}
+    for _, m, y in test:
+        at = same.setdefault(e.score(m), [0.0, 0.0])
+        at[0] += y
+        at[1] += 1
+    pools: list[list[float]] = []  # largest score, sum of labels, number
+    for x in sorted(same):
+        pools.append([x, *same[x]])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            x2, y2, n2 = pools.pop()
+            pools[-1] = [x2, pools[-1][1] + y2, pools[-1][2] + n2]
+    return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
+
+
 def labelled(messages: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, sample: int = SAMPLE) -> list[tuple[int, str, int]]:
     """The sample that the classifier is fitted on: at most ``sample`` labelled rows with a message.
 
@@ -289,21 +327,47 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).where((F.col("score") >= THRESHOLD) & F.col("id").isNotNull()).select(F.col("id").alias("tweet_id")).distinct()
 
 
+def _largest(scored: DataFrame) -> DataFrame:
+    return scored.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("tweet_id")).agg(F.max("score").alias("score"))
+
+
 def p4_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Score of every tweet id: the largest of its rows."""
-    return _scored(spark, d).where(F.col("id").isNotNull()).groupBy(F.col("id").alias("tweet_id")).agg(F.max("score").alias("score"))
+    """Score of every tweet id (the largest of its rows) and the calibrated probability of being unwanted."""
+    tweets = table(spark, d, "tweet")
+    rows = labelled(tweets, "id", "message", table(spark, d, "tweet_label"), "tweet_id", "unwanted")
+    tops, shares = calibration(rows)
+    step = F.lit(float(shares[-1]))
+    for x, p in zip(tops[-2::-1], shares[-2::-1], strict=True):  # few steps: the pools of the calibration
+        step = F.when(F.col("score") <= float(x), float(p)).otherwise(step)
+    return _largest(score_messages(tweets, "id", "message", rows)).withColumn("probability", step)
+
+
+def p4_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """For each row of an unwanted tweet the statement that counts and the labelled tweets nearest to it."""
+    tweets = table(spark, d, "tweet")
+    shared = spark.sparkContext.broadcast(Examples(labelled(tweets, "id", "message", table(spark, d, "tweet_label"), "tweet_id", "unwanted")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = shared.value
+        for b in batches:
+            rows = [(k, *e.evidence(m)) for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if k is not None and e.score(m) >= THRESHOLD]
+            yield pa.RecordBatch.from_pydict(
+                {"tweet_id": pa.array([r[0] for r in rows], pa.int64()), "statement": pa.array([r[1] for r in rows], pa.string()), "examples": pa.array([[i for i, _ in r[2]] for r in rows], pa.list_(pa.int64())), "cosines": pa.array([[c for _, c in r[2]] for r in rows], pa.list_(pa.float64()))}
+            )
+
+    return spread(tweets.select("id", "message")).mapInArrow(run, "tweet_id long, statement string, examples array<long>, cosines array<double>")
 
 
 def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     """Tweets and share of unwanted ones of each author (plain form; null for none)."""
     authors = table(spark, d, "tweet").where(F.col("id").isNotNull()).groupBy(F.col("id").alias("tweet_id")).agg(F.min(plain("author")).alias("author"))
     return (
-        p4_scores(spark, d)
+        _largest(_scored(spark, d))
         .join(authors, "tweet_id")
         .groupBy("author")
         .agg(F.count(F.lit(1)).alias("n_tweets"), F.avg((F.col("score") >= THRESHOLD).cast("double")).alias("unwanted_rate"))
     )
 
 
-QUERIES = {"p4_found": p4_found, "p4_scores": p4_scores, "p4_rates": p4_rates}
+QUERIES = {"p4_found": p4_found, "p4_scores": p4_scores, "p4_evidence": p4_evidence, "p4_rates": p4_rates}
 ORACLES: dict[str, str] = {}

@@ -133,6 +133,12 @@ def p3_top(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p3_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the bounds that the summaries alone give for each count."""
+    parts = [top_k(table(spark, d, t), c, "tweet_id").select(F.lit(c).alias("field"), "item", "lower", "upper", "n") for t, c in _FIELDS]
+    return parts[0].unionByName(parts[1])
+
+
 def _sql(t: str, c: str) -> str:
     return f"""SELECT '{c}' AS field, item, count(*) AS n FROM (
         SELECT DISTINCT lower(trim(regexp_replace(trim({c}), '^[@#]+', ''))) AS item, tweet_id FROM {t} WHERE tweet_id IS NOT NULL)
@@ -140,7 +146,7 @@ def _sql(t: str, c: str) -> str:
 
 
 _SHARE = " UNION ALL ".join(f"SELECT * FROM (SELECT *, sum(n) OVER () AS total FROM ({_sql(t, c)})) WHERE n * 200 >= total AND n >= 10" for t, c in _FIELDS)
-QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts, "p3_top": p3_top}
+QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts, "p3_top": p3_top, "p3_bounds": p3_bounds}
 ORACLES = {
     "p3_found": f"SELECT field, item FROM ({_SHARE})",
     "p3_counts": f"SELECT field, item, n FROM ({_SHARE})",

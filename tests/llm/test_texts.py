@@ -71,6 +71,17 @@ def test_block_max_equals_full_search(examples):
             assert got == pytest.approx(sum(x * e.share[i] for x, i in zip(v, near)) / sum(v))
 
 
+def test_evidence_and_calibration(examples):
+    statement, near = examples.evidence("the mill is open. you are a filthy idiot")
+    assert statement == "you are a filthy idiot" and near and all(c >= abuse.MIN_COSINE for _, c in near)
+    by_id = {i: m for i, m, _ in labelled(1)}
+    assert all(any(w in by_id[i] for w in ("idiot", "filthy")) for i, _ in near)
+    assert examples.evidence("the mill is open") is None and examples.evidence(None) is None
+    tops, shares = abuse.calibration(labelled(1))
+    assert list(tops) == sorted(tops) and list(shares) == sorted(shares) and shares[0] < 0.2 and shares[-1] > 0.8
+    assert len(abuse.calibration([])[0]) == 2
+
+
 def test_scores_of_rows(spark, examples):
     df = spark.createDataFrame([(1, "you are a filthy idiot", 0.5), (2, None, 0.1), (None, "", 0.2), (1, "the mill is open", 0.3)], "id long, message string, score double")
     got = abuse.score_messages(df, "id", "message", labelled(1)).collect()
