@@ -66,7 +66,7 @@ def _(t):
     # an OR of two equalities is a union of two equi joins, the second without the rows of the first
     o, n = t.orders.select("o_orderkey", "o_custkey"), t.nation.select("n_nationkey")
     one = o.join(n, F.col("o_orderkey") == F.col("n_nationkey"))
-    two = o.join(n, F.col("o_custkey") == F.col("n_nationkey")).where(F.col("o_orderkey") != F.col("n_nationkey"))
+    two = o.join(n, F.col("o_custkey") == F.col("n_nationkey")).where(~F.col("o_orderkey").eqNullSafe(F.col("n_nationkey")))
     return one.union(two).select("o_orderkey", "n_nationkey")
 
 

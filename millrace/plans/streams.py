@@ -61,8 +61,7 @@ def _(t):
 def _(t):
     work = shared_dir(t.spark)
     W.run_once(_stream(t, "events").select("user_id", "event_id"), W.upsert_sink(f"{work}/out", ["user_id"], "event_id"), f"{work}/state")
-    last = max(int(v[2:]) for v in children(t.spark, f"{work}/out"))
-    out = cut(t.spark.read.parquet(f"{work}/out/v={last}"))
+    out = cut(W.read_upserted(t.spark, f"{work}/out"))
     remove(t.spark, work)
     return out
 
