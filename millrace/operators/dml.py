@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _ROW = "__row"
@@ -34,15 +34,15 @@ def _pair(a: DataFrame, b: DataFrame, key: Sequence[str], how: str) -> DataFrame
 
 
 def last_of(batch: DataFrame, key: Sequence[str], seq: str) -> DataFrame:
-    """The row with the largest ``seq`` of each key."""
-    w = Window.partitionBy(*key).orderBy(F.col(seq).desc())
-    return batch.withColumn(_ROW, F.row_number().over(w)).where(F.col(_ROW) == 1).drop(_ROW)
+    """The row with the largest ``seq`` of each key; an aggregate, so that a hot key is combined before the shuffle."""
+    row = F.struct(*[F.col(f"`{c}`") for c in batch.columns])
+    return batch.groupBy(*key).agg(F.max_by(row, F.struct(seq)).alias(_ROW)).select(f"{_ROW}.*")
 
 
 def first_of(batch: DataFrame, key: Sequence[str], seq: str) -> DataFrame:
-    """The row with the smallest ``seq`` of each key."""
-    w = Window.partitionBy(*key).orderBy(F.col(seq).asc())
-    return batch.withColumn(_ROW, F.row_number().over(w)).where(F.col(_ROW) == 1).drop(_ROW)
+    """The row with the smallest ``seq`` of each key (a null ``seq`` is the smallest)."""
+    row = F.struct(*[F.col(f"`{c}`") for c in batch.columns])
+    return batch.groupBy(*key).agg(F.min_by(row, F.struct(seq)).alias(_ROW)).select(f"{_ROW}.*")
 
 
 def insert(table: DataFrame, batch: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import numbering
 from millrace.operators import relational as rel
+from millrace.operators.groups import along
 from millrace.plans.registry import Catalogue
 
 C = Catalogue()
@@ -90,17 +90,26 @@ def _(t):
 
 @C.add("lag_prev_value", "SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events")
 def _(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t.events.select("event_id", F.lag("value").over(w).alias("prev"))
+    return along(t.events.select("event_id", "user_id", "ts", "value"), "user_id", ["ts", "event_id"], previous=("value", "prev")).select("event_id", "prev")
 
 
 @C.add("rank_reset", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rank_no FROM orders")
 def _(t):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return t.orders.select("o_orderkey", F.row_number().over(w).cast("long").alias("rank_no"))
+    return along(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), "o_custkey", ["o_orderdate", "o_orderkey"], number="rank_no").select("o_orderkey", "rank_no")
 
 
 @C.add("running_total", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS total FROM orders")
 def _(t):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    return t.orders.select("o_orderkey", F.round(F.sum("o_totalprice").over(w), 2).alias("total"))
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    return along(o, "o_custkey", ["o_orderdate", "o_orderkey"], total=("o_totalprice", "s")).select("o_orderkey", F.round("s", 2).alias("total"))
+
+
+@C.add(
+    "along_hot_group",
+    """SELECT event_id, row_number() OVER w AS no, CAST(sum(user_id) OVER w AS BIGINT) AS total, lag(value) OVER w AS prev FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS u FROM events)
+    WINDOW w AS (PARTITION BY u ORDER BY ts, event_id)""",
+)
+def _(t):
+    # a third of all rows in one group; the plan for large groups is forced
+    e = t.events.select("event_id", "user_id", "ts", "value", F.when(F.col("event_id") % 3 == 0, F.lit(1)).otherwise(F.col("user_id")).cast("long").alias("u"))
+    return along(e, "u", ["ts", "event_id"], number="no", total=("user_id", "total"), previous=("value", "prev"), group_rows=0).select("event_id", "no", "total", "prev")

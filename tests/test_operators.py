@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from millrace.operators import dml, numbering
 from millrace.operators import relational as rel
+from millrace.operators.groups import along
 from millrace.sources import delimited
 
 
@@ -93,6 +94,23 @@ def test_numbering_is_dense_and_ordered(spark):
     assert numbering.number_rows(df.limit(0), [F.asc("k")]).count() == 0
 
 
+@pytest.mark.parametrize("group_rows", [0, 10**6])
+def test_along_groups(spark, group_rows):
+    r = random.Random(6)
+    data = [(r.choice(["hot"] * 6 + ["a", "b", None]), r.choice([None, *range(50)]), i, r.choice([None, 1, 2, 5])) for i in range(700)]
+    df = spark.createDataFrame(data, "k string, t int, i int, v int").repartition(6)
+    got = {x.i: (x.no, x.s, x.p) for x in along(df, "k", ["t", "i"], number="no", total=("v", "s"), previous=("v", "p"), group_rows=group_rows).collect()}
+    want = {}
+    for k in {x[0] for x in data}:
+        total, prev = None, None
+        for n, x in enumerate(sorted((x for x in data if x[0] == k), key=lambda x: (x[1] is not None, x[1] or 0, x[2]))):
+            total = total if x[3] is None else (total or 0) + x[3]
+            want[x[2]] = (n + 1, total, prev)
+            prev = x[3]
+    assert got == want
+    assert along(df.limit(0), "k", ["t", "i"], number="no", group_rows=group_rows).count() == 0
+
+
 def test_spread_join_equals_plain_join(spark):
     big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50).cast("int").alias("k"), "id").union(spark.createDataFrame([(None, -1)], "k int, id long"))
     small = spark.createDataFrame([(i, f"n{i}") for i in range(0, 60, 2)] + [(1, "one"), (None, "null")], "k int, name string")
