@@ -31,6 +31,8 @@ BLOCK = 256
 PRODUCTS = 1_000_000
 #: Items above this share of all rows are few (at most its inverse) and joined by broadcast.
 HOT_SHARE = 1000
+#: Items that can be in a pair are broadcast up to this number, checked before; above it only hot ones are.
+BROADCAST_ITEMS = 200_000
 
 
 def _products(left: np.ndarray, offs: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,14 +109,15 @@ def together(df: DataFrame, item: str, record: str, least: int = 10, lift: int =
     base = cut(pairs_of(df, item, record).distinct())
     rows, n = base.agg(F.count(F.lit(1)), F.count_distinct("record")).first()
     counts = base.groupBy("item").agg(F.count(F.lit(1)).alias("c"))
-    kept = counts.where((F.col("c") >= least) & (F.col("c") * lift <= n))
-    hot = kept.where(F.col("c") * HOT_SHARE > rows)  # at most HOT_SHARE items, by pigeonhole
-    cool = kept.where(F.col("c") * HOT_SHARE <= rows)
-    common = base.join(F.broadcast(hot.select("item")), "item", "left_semi")
-    # rows of very common items never reach the shuffle of the second join
-    too = counts.where(F.col("c") * HOT_SHARE > rows)
-    rest = base.join(F.broadcast(too.select("item")), "item", "left_anti").join(cool.select("item"), "item", "left_semi")
-    useful = common.unionByName(rest)
+    kept = cut(counts.where((F.col("c") >= least) & (F.col("c") * lift <= n)))
+    if kept.count() <= BROADCAST_ITEMS:
+        useful = base.join(F.broadcast(kept.select("item")), "item", "left_semi")
+    else:
+        # hot items are at most HOT_SHARE, by pigeonhole: broadcast; rows of no other item are skewed
+        hot = counts.where(F.col("c") * HOT_SHARE > rows)
+        common = base.join(F.broadcast(hot.join(kept.select("item"), "item", "left_semi").select("item")), "item", "left_semi")
+        rest = base.join(F.broadcast(hot.select("item")), "item", "left_anti").join(kept.where(F.col("c") * HOT_SHARE <= rows).select("item"), "item", "left_semi")
+        useful = common.unionByName(rest)
     # item blocks of large baskets; sizes come from a count, not from gathered groups
     size = useful.groupBy("record").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block)
     large = size.withColumn("k", F.ceil(F.col("m") / block)).select("record", "k")

@@ -51,8 +51,10 @@ def dirty(seed, n=3000):
     return rows + rows[:200] + [(None, 1), ("#", 2), ("  ", 3), ("x", None)]
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_pairs_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "broadcast"), [(256, 10**6), (3, 10**6), (256, 0), (3, 0)])
+def test_pairs_equal_brute_force(spark, block, broadcast, monkeypatch):
+    monkeypatch.setattr(pairs, "BROADCAST_ITEMS", broadcast)
+    monkeypatch.setattr(pairs, "HOT_SHARE", 30)
     rows = dirty(1)
     got = {(r.tag_a, r.tag_b, r.n_ab, r.n_a, r.n_b) for r in pairs.together(make(spark, rows), "hashtag", "tweet_id", 5, 2, block=block).collect()}
     assert got == brute_pairs(rows, 5, 2) and got
