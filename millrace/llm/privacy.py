@@ -57,8 +57,12 @@ _ADDRESS_DE = re.compile(r"(?i)\b([^\W\d_][\w\-]{0,60}?(?:straße|strasse|str\.|
 _ADDRESS_ES = re.compile(r"(?i)(?<!\w)(calle|c/|c\.|avenida|avda\.?|av\.|plaza|pza\.?|paseo|camino|ronda|travesía)\s*((?:(?:de|del|la|las|los|el)\s+)*[^\W\d_][\w'’\-]*(?:\s+(?:de|del|la|y)?\s*[^\W\d_][\w\-]*){0,2}?),?\s+(?:n[º°.o]*\s*)?(\d{1,4}[a-z]?)\b(?:,\s*\d{1,2}[º°]\s?[A-Za-z]?\b)?")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*\.?")
 _DIGIT = re.compile(r"\d")
+_WORDS = re.compile(r"\w+")
+_SPOKEN_WORDS = frozenset([*_DIGIT_WORDS.split("|"), "funf"])
+_INITIAL = re.compile(r"(?<![^\W\d_])[^\W\d_]\. ")
 
 _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0xA0: 0x20, 0x3000: 0x20, 0x202F: 0x20, 0x2010: 0x2D, 0x2011: 0x2D, 0x2012: 0x2D, 0x2013: 0x2D}
+_MARKS = dict.fromkeys(range(0x300, 0x370))
 _WIDE |= dict(zip(map(ord, "авеѕіјкмнорсԁтухѵАВЕЅІЈКМНОРСТУХ"), map(ord, "abesijkmhopcdtyxvABESIJKMHOPCTYX"), strict=True))
 
 
@@ -75,7 +79,7 @@ def readable(message: str) -> tuple[str, list[int] | None]:
 
 
 def plain_name(word: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c)) if not word.isascii() else word.lower()
+    return word.lower() if word.isascii() else unicodedata.normalize("NFKD", word.lower()).translate(_MARKS)
 
 
 class Lexicon:
@@ -98,8 +102,12 @@ class Lexicon:
         least = 3 if len(names) > 500 else 1
         self.first = {w for w, n in first.items() if n >= least and n > last[w]}
         self.last = {w for w, n in last.items() if n >= least and n > first[w]}
+        self._triggers()
         self.common = {w for w, n in words.items() if n >= 3 and lower[w] * 2 >= n and w not in self.last and w not in self.first}
 
+    def _triggers(self) -> None:
+        self.triggers = {p for w in (self.first | self.last | _TITLES) for p in _WORDS.findall(w)}
+
 
 def _case(w: str) -> int:
     return 0 if w.islower() else 2 if w.isupper() and len(w) > 1 else 1 if w[0].isupper() else 3
@@ -194,7 +202,7 @@ def _names(text: str, lex: Lexicon) -> Iterator[tuple[int, int, list[float]]]:
 
 def candidates(text: str, lex: Lexicon) -> list[tuple[str, int, int, list[float]]]:
     """(kind, start, end, features) of every proposed span; handles, tags and links are no text here."""
-    bare = _NOISE.sub(lambda m: "\x00" * len(m[0]), text)
+    bare = _NOISE.sub(lambda m: "\x00" * len(m[0]), text) if "@" in text or "#" in text or "://" in text else text
     out: list[tuple[str, int, int, list[float]]] = []
     if "@" in bare or "at" in bare or "AT" in bare or "rroba" in bare:
         for m in _EMAIL.finditer(bare):
@@ -208,10 +216,12 @@ def candidates(text: str, lex: Lexicon) -> list[tuple[str, int, int, list[float]
         for kind, pattern in enumerate((_ADDRESS_EN, _ADDRESS_DE, _ADDRESS_ES)):
             for m in pattern.finditer(bare):
                 out.append(("address", m.start(), m.end(), _address(bare, m, kind)))
-    for m in _SPOKEN.finditer(bare):
+    words = _WORDS.findall(plain_name(bare))
+    for m in _SPOKEN.finditer(bare) if not _SPOKEN_WORDS.isdisjoint(words) and sum(w in _SPOKEN_WORDS for w in words) >= 3 else ():
         f = _numbers(bare, m.start(), m.end(), True)
         out += [("phone", m.start(), m.start() + len(m[0].rstrip(" -")), f), ("id_number", m.start(), m.end(), f)]
-    for a, b, f in _names(bare, lex):
+    # every name has a known part, a title or an initial
+    for a, b, f in _names(bare, lex) if not lex.triggers.isdisjoint(words) or (". " in bare and _INITIAL.search(bare)) else ():
         out.append(("person_name", a, b, f))
     return out
 
@@ -326,6 +336,7 @@ class Redactor:
         w = _Writer(seed)
         own = Lexicon([], [])
         own.first, own.last = set(map(str.lower, w.firsts[:110])), set(map(str.lower, w.lasts[:150]))
+        own._triggers()
         own.common = {x.lower() for t in [*_PLAIN, *_NO_NUMBER.split("|"), *(x for v in _WITH.values() for x in v.split("|"))] for x in _TOKEN.findall(t) if x[0].islower()}
         x: dict[str, list] = {k: [] for k in KINDS}
         y: dict[str, list] = {k: [] for k in KINDS}
