@@ -20,7 +20,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +93,7 @@ class Examples:
         for i, y, s, e in raw:
             terms = self.terms(s)
             if terms:
-                d = docs.setdefault(tuple(terms), [0, 0, i, 0.0])
+                d = docs.setdefault(tuple(sorted(terms)), [0, 0, i, 0.0])
                 d[y] += 1
                 d[3] += e
                 d[2] = min(d[2], i)
@@ -163,8 +163,8 @@ class Examples:
                 return c
         return self.swapped.get((t[0], "".join(sorted(t))), t) if len(t) > 3 and not force else self.swapped.get((t[0], "".join(sorted(t))), t)
 
-    def terms(self, statement: str) -> list[str]:
-        """Words (disguises undone) and pairs of neighbouring words, each once, sorted."""
+    def terms(self, statement: str) -> set[str]:
+        """Words (disguises undone) and pairs of neighbouring words, each once."""
         if "." in statement or "-" in statement or "_" in statement or "*" in statement:
             statement = _SPLIT_WORD.sub(lambda m: re.sub(r"[\W_]", "", m[0]), statement)
         known, words, out = self.known, self.words, []
@@ -177,7 +177,7 @@ class Examples:
                     r = words[w] = self._repair(w)
                 w = r
             out.append(w)
-        return sorted({*out, *map(" ".join, zip(out, out[1:], strict=False))})
+        return {*out, *map(" ".join, zip(out, out[1:], strict=False))}
 
     def _weight(self, term: str) -> float:
         w = self.idf.get(term)
@@ -204,25 +204,24 @@ class Examples:
             b, at = np.unique(d // BLOCK, return_index=True)
             self.post[t], self.blocks[t] = (d, w), (b, np.maximum.reduceat(w, at))
             unwanted = w[d < bad]
-            if len(unwanted):
-                self.bound[t] = float(unwanted.max()) * self.idf[t]
+            idf = self.idf[t]
+            self.bound[t] = (idf * idf, float(unwanted.max()) * idf if len(unwanted) else 0.0)
 
-    def _near(self, terms: tuple[str, ...] | list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+    def _near(self, terms: Iterable[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """The nearest examples and their cosines, or None where no unwanted one can reach MIN_COSINE."""
-        norm2, bound, hit = 0.0, 0.0, []
-        idf, limit = self.idf, self.bound
+        norm2 = bound = 0.0
+        known, idf = self.bound, self.idf
         for t in terms:
-            w = idf.get(t)
-            if w is None:
-                if " " not in t:
-                    norm2 += OTHER * OTHER
-            else:
-                norm2 += w * w
-                bound += limit.get(t, 0.0)
-                hit.append(t)
+            w = known.get(t)
+            if w is not None:
+                norm2 += w[0]
+                bound += w[1]
+            elif " " not in t:
+                norm2 += OTHER * OTHER
         norm = math.sqrt(norm2)
-        if bound < MIN_COSINE * norm or not hit:
+        if bound == 0.0 or bound < MIN_COSINE * norm:
             return None
+        hit = sorted(t for t in terms if t in known)
         top = np.bincount(np.concatenate([self.blocks[t][0] for t in hit]), np.concatenate([self.blocks[t][1] * idf[t] for t in hit]), -(-len(self.order) // BLOCK))
         alive = top >= MIN_COSINE * norm
         if not alive[: self.bad_blocks].any():
@@ -238,7 +237,7 @@ class Examples:
             near = near[np.argpartition(-cosine[near], NEIGHBOURS - 1)[:NEIGHBOURS]]
         return near, cosine[near]
 
-    def _search(self, terms: tuple[str, ...] | list[str]) -> float | None:
+    def _search(self, terms: Iterable[str]) -> float | None:
         """Weighted vote of the nearest examples, or None where no unwanted one can reach MIN_COSINE."""
         found = self._near(terms)
         if found is None:
