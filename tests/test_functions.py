@@ -38,8 +38,8 @@ GOLDEN = {
     "truncate": (lambda: num.truncate(L(-1.999), 1), -1.9),
     "greatest null": (lambda: num.greatest_strict(L(1), L(None).cast("int")), None),
     "zerofill": (lambda: num.zerofill(L(42), 5), "00042"),
-    "mid -5": (lambda: s.mid(L("tianmu engine"), L(-5), L(15)), "ngine"),
-    "mid -15": (lambda: s.mid(L("tianmu engine"), L(-15), L(15)), ""),
+    "mid -5": (lambda: s.mid(L("quarry engine"), L(-5), L(15)), "ngine"),
+    "mid -15": (lambda: s.mid(L("quarry engine"), L(-15), L(15)), ""),
     "mid 0": (lambda: s.mid(L("abc"), L(0), L(1)), ""),
     "left -1": (lambda: s.left(L("abc"), L(-1)), ""),
     "strcmp": (lambda: s.strcmp(L("a"), L("b")), -1),
