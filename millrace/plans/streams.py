@@ -61,7 +61,8 @@ def _(t):
 def _(t):
     work = shared_dir(t.spark)
     W.run_once(_stream(t, "events").select("user_id", "event_id"), W.upsert_sink(f"{work}/out", ["user_id"], "event_id"), f"{work}/state")
-    out = cut(W.read_upserted(t.spark, f"{work}/out"))
+    kept = W.read_upserted(t.spark, f"{work}/out")
+    out = cut(kept if kept is not None else t.events.select("user_id", "event_id").limit(0))
     remove(t.spark, work)
     return out
 
