@@ -108,8 +108,9 @@ def _(t):
 @C.add("partitioned_write", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P'")
 def _(t):
     path = shared_dir(t.spark)
-    t.orders.select("o_orderkey", "o_orderstatus").repartition("o_orderstatus").write.mode("overwrite").partitionBy("o_orderstatus").parquet(path)
-    out = cut(t.spark.read.parquet(path).where("o_orderstatus = 'P'"))  # prunes to one directory
+    o = t.orders.select("o_orderkey", "o_orderstatus")
+    o.repartition("o_orderstatus").write.mode("overwrite").partitionBy("o_orderstatus").parquet(path)
+    out = cut(t.spark.read.schema(o.schema).parquet(path).where("o_orderstatus = 'P'"))  # prunes to one directory
     remove(t.spark, path)
     return out
 
