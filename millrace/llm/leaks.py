@@ -34,10 +34,13 @@ BLOCK_ITEMS = 2000
 RUN, LEAST, SLOT_SHARE = 12, 11, 0.7
 #: Words that may stand between two words of a passage (other columns, adverts).
 GAP = 60
+#: Steps in the item from one undamaged word to the next at most.
+STEP = 6
 #: Weight of shared windows that makes a page and an item a candidate, in windows that no other
 #: item has.
 WEIGHT = 2.75
-#: Words of a passage that must stand undamaged (after folding), apart from the shortest.
+#: Words of a passage that must stand undamaged (after folding), apart from the shortest where a
+#: passage has so many longer ones.
 ANCHORS = 5
 
 # Number words of the three languages; they take the placeholder of numbers.
@@ -77,11 +80,21 @@ def near(a: str, b: str) -> bool:
     return row[lb] <= most
 
 
+def _bare(words: list[str]) -> set[int]:
+    """Places of the runs whose long words are too few or too far apart for anchors: there short words count too."""
+    out: set[int] = set()
+    for a in range(len(words) - RUN + 1):
+        long = [i for i in range(a, a + RUN) if len(words[i]) > 3]
+        if len(long) < ANCHORS or any(h - i > STEP for i, h in zip(long, long[1:], strict=False)):
+            out.update(range(a, a + RUN))
+    return out
+
+
 class Items:
     """Index of a block of items: windows to items, weights, and the words of each item."""
 
     def __init__(self, rows: list[tuple[object, str | None]]) -> None:
-        self.ids, self.words, self.templates, self.numbers = [], [], [], []
+        self.ids, self.words, self.templates, self.numbers, self.bare = [], [], [], [], []
         self.windows: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
         self.of_word: dict[str, int] = defaultdict(int)
         for key, text in rows:
@@ -94,6 +107,7 @@ class Items:
             self.words.append(folded)
             self.templates.append([template(w, f) for w, f in zip(raw, folded, strict=True)])
             self.numbers.append([bool(_DIGITS.match(w)) for w in raw])
+            self.bare.append(_bare(folded))
             for pair in dict.fromkeys(zip(self.templates[-1], self.templates[-1][1:], strict=False)):
                 self.windows[pair].append((at, 0))
             for w in set(folded):
@@ -119,10 +133,9 @@ class Items:
         words = self.words[item]
         anchors = []
         for i, w in enumerate(words):
-            at = where.get(w) if len(w) > 3 else None
-            if at and (len(at) <= 3 or w in self.slot):
-                anchors += [(p, i) for p in at]
-        if len(anchors) < 3:
+            if len(w) > 3 or i in self.bare[item]:
+                anchors += [(p, i) for p in where.get(w, ())]
+        if len(anchors) < ANCHORS:
             return False
         anchors.sort()
         best: list[tuple[int, int]] = []  # (length, previous)
@@ -132,7 +145,7 @@ class Items:
                 q, h = anchors[j]
                 if p - q > GAP:
                     break
-                if q < p and 0 < i - h <= 6 and best[j][0] + 1 > length:
+                if q < p and 0 < i - h <= STEP and best[j][0] + 1 > length:
                     length, back = best[j][0] + 1, j
             best.append((length, back))
         # every chain that can hold a passage is tried, longest first; its anchors are then used up

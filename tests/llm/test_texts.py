@@ -215,6 +215,25 @@ def test_items_in_blocks_give_the_same(spark, bench, monkeypatch):
     assert {tuple(r) for r in leaks.leaked(pages, "doc_id", "text", items, "item_id", "text").collect()} == whole == {(i, i) for i in range(20)}
 
 
+def test_passages_among_questions_of_one_template():
+    r = random.Random(4)
+    made = lambda: "".join(r.choice("bdgkpz") + r.choice("aeiou") for _ in range(4))
+    asked = lambda: f"before each {made()} counts how many parts remain near that {made()} while others wait"
+    rows = [(i, asked()) for i in range(40)]
+    items = leaks.Items(rows)
+    for i, text in rows:
+        page = "\n".join([asked() for _ in range(4)] + ["Some lines about the town council stand here."] + [text] + [asked() for _ in range(4)])
+        assert leaks.search(items, page) == [i]
+
+
+def test_passages_of_short_words():
+    rows = [(0, "it is so far up to the old inn as we go by"), (1, "ladder is at the end of it all so we go on to kettles"), (2, item(random.Random(5)))]
+    items = leaks.Items(rows)
+    for i, text in rows:
+        assert leaks.search(items, f"The council met on Tuesday. {text}. The mayor spoke.") == [i]
+    assert leaks.search(items, "it is so that we go by the old mill and up to town as it is far to the inn") == []
+
+
 @pytest.mark.parametrize(("a", "b"), [("harbour", "barbour"), ("modern", "modem"), ("already", "alrearly"), ("windmill", "vvindmill"), ("yellow", "ye1low"), ("said", "ſaid")])
 def test_fold(a, b):
     assert scans.fold(a) == scans.fold(b)
