@@ -7,8 +7,8 @@ calibrated on held-out examples selects them, and of overlapping spans the best
 spans are replaced by typed placeholders, so that the rest of the text stays readable.
 
 The trees are trained here, on texts written by ``examples`` (a seeded generator with its own
-templates); which words are first names, surnames and common words comes from bounded samples of
-the author table and the messages (NAMES, WORDS).
+templates); which words are first names, surnames and common words is counted over all rows of the
+author table and all messages.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import random
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.boosting import Boosted
-from millrace.llm.sampling import bounded_sample
-from millrace.session import spread
+from millrace.session import cut, spread
 from millrace.sources.tables import table
 
 KINDS = ("email", "phone", "id_number", "address", "person_name")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
-#: Rows of the author table and of the messages that the word lists are fitted on at most.
-NAMES, WORDS = 20_000, 20_000
+#: Words are listed that make up at least this part of all names, or of all words of the messages,
+#: so that no list that is broadcast can be longer; and the count that a common word needs.
+PART, LEAST = 500_000, 3
 #: Synthetic texts that the trees are trained on, and the precision that thresholds are set for.
 TEXTS, PRECISION = 8000, 0.96
 
@@ -82,28 +82,51 @@ def plain_name(word: str) -> str:
     return word.lower() if word.isascii() else unicodedata.normalize("NFKD", word.lower()).translate(_MARKS)
 
 
+def count_names(names: Iterable[str | None]) -> tuple[Counter, Counter]:
+    """How often each word is a first name, and how often a surname."""
+    first, last = Counter(), Counter()
+    for name in names:
+        parts = name.split() if name else ()
+        if len(parts) >= 2:
+            a, b = (parts[-1], parts[0][:-1]) if parts[0].endswith(",") else (parts[0], parts[-1])
+            if len(a.strip(".")) > 2:
+                first[plain_name(a)] += 1
+            last[plain_name(b)] += 1
+    return first, last
+
+
+def count_words(messages: Iterable[str | None]) -> tuple[Counter, Counter]:
+    """How often each word comes, and how often it begins with a small letter; no handles, links and emails."""
+    tokens, words, lower = Counter(), Counter(), Counter()
+    for m in messages:
+        if m:
+            text = readable(m)[0]
+            if "@" in text or "#" in text or "://" in text:
+                text = _NOISE.sub(" ", text)
+            small = text.lower()
+            if "@" in small or "at" in small or "ät" in small or "arroba" in small:
+                text = _EMAIL.sub(" ", text)
+            tokens.update(_TOKEN.findall(text))
+    for t, n in tokens.items():
+        w = t.rstrip(".")
+        words[w.lower()] += n
+        if w[0].islower():
+            lower[w.lower()] += n
+    return words, lower
+
+
 class Lexicon:
     """First names, surnames and common words."""
 
     def __init__(self, names: list[str], messages: list[str]) -> None:
-        first, last, words, lower = Counter(), Counter(), Counter(), Counter()
-        for name in names:
-            parts = [p for p in re.split(r"\s+", name.strip()) if p]
-            if len(parts) >= 2:
-                a, b = (parts[-1], parts[0][:-1]) if parts[0].endswith(",") else (parts[0], parts[-1])
-                if len(a.strip(".")) > 2:
-                    first[plain_name(a)] += 1
-                last[plain_name(b)] += 1
-        for m in messages:
-            for w in _TOKEN.findall(_EMAIL.sub(" ", _NOISE.sub(" ", readable(m)[0]))):
-                w = w.rstrip(".")
-                words[w.lower()] += 1
-                lower[w.lower()] += w[0].islower()
-        least = 3 if len(names) > 500 else 1
-        self.first = {w for w, n in first.items() if n >= least and n > last[w]}
-        self.last = {w for w, n in last.items() if n >= least and n > first[w]}
+        first, last = count_names(names)
+        words, lower = count_words(messages)
+        self.fill([w for w, n in first.items() if n > last[w]], [w for w, n in last.items() if n > first[w]], [w for w, n in words.items() if n >= LEAST and lower[w] * 2 >= n])
+
+    def fill(self, first: Iterable[str], last: Iterable[str], common: Iterable[str]) -> None:
+        self.first, self.last = set(first), set(last)
         self._triggers()
-        self.common = {w for w, n in words.items() if n >= 3 and lower[w] * 2 >= n and w not in self.last and w not in self.first}
+        self.common = {w for w in common if w not in self.last and w not in self.first}
 
     def _triggers(self) -> None:
         self.triggers = {p for w in (self.first | self.last | _TITLES) for p in _WORDS.findall(w)}
@@ -401,10 +424,40 @@ class Redactor:
         return message
 
 
+def counted(df: DataFrame, column: str, count: Callable[[Iterable[str | None]], tuple[Counter, Counter]]) -> DataFrame:
+    """(word, a, b): the two counts of each word over all rows. Counts of a batch are shuffled, no texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = count(batch.column(0).to_pylist())
+            words = [*a, *(w for w in b if w not in a)]
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "a": pa.array([a[w] for w in words], pa.int64()), "b": pa.array([b[w] for w in words], pa.int64())})
+
+    return spread(df.select(column)).mapInArrow(run, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def lexicon(messages: DataFrame, text: str, names: DataFrame, name: str) -> Lexicon:
+    """The word lists of all names and all messages.
+
+    A surname that makes up less than 1/PART of all surnames is left out, first names and common
+    words likewise; so each list has at most PART words, and up to PART rows no name is left out.
+    """
+    known, words = cut(counted(names, name, count_names)), cut(counted(messages, text, count_words))
+    n = known.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    total = words.agg(F.sum("a")).first()[0] or 0
+    listed = lambda df: [r["word"] for r in df.select("word").collect()]
+    lex = Lexicon([], [])
+    lex.fill(
+        listed(known.where((F.col("a") > F.col("b")) & (F.col("a") * PART >= F.lit(n["a"] or 0)))),
+        listed(known.where((F.col("b") > F.col("a")) & (F.col("b") * PART >= F.lit(n["b"] or 0)))),
+        listed(words.where((F.col("a") >= LEAST) & (F.col("b") * 2 >= F.col("a")) & (F.col("a") * PART >= F.lit(total)))),
+    )
+    return lex
+
+
 def fitted(messages: DataFrame, text: str, names: DataFrame, name: str) -> Redactor:
-    """A redactor whose word lists come from bounded samples of the names and the messages."""
-    some = lambda df, c, n: [r[0] for r in bounded_sample(df.select(F.col(c).alias("v")), "v", n).collect()]
-    return Redactor(Lexicon(some(names, name, NAMES), some(messages, text, WORDS)))
+    """A redactor whose word lists come from all names and all messages."""
+    return Redactor(lexicon(messages, text, names, name))
 
 
 def details(messages: DataFrame, key: str, text: str, redactor: Redactor) -> DataFrame:

@@ -154,6 +154,24 @@ def test_rows(spark, redactor):
     assert got == {(1, "mail [EMAIL]", ("email",)), (2, None, ()), (None, "", ()), (1, "x" * 30, ())}
 
 
+def test_word_lists_are_of_all_rows(spark, monkeypatch):
+    # 60,000 authors, one of them with a surname and a first name of their own; a rare common word
+    names = spark.range(60_000).selectExpr("CASE WHEN id = 777 THEN 'Zebulon Quarrington' WHEN id = 778 THEN NULL ELSE concat('Anna Weston', id % 30000) END AS v")
+    messages = spark.range(60_000).selectExpr("id", "CASE WHEN id % 20000 = 5 THEN 'the turnstile' WHEN id = 9 THEN '' ELSE concat('we go to stall ', id) END AS m")
+    lex = privacy.lexicon(messages, "m", names, "v")
+    assert "zebulon" in lex.first and "quarrington" in lex.last and "turnstile" in lex.common
+    monkeypatch.setattr(privacy, "PART", 1000)
+    lex = privacy.lexicon(messages, "m", names, "v")
+    assert lex.first == {"anna"} and "quarrington" not in lex.last and "turnstile" not in lex.common and "stall" in lex.common
+    empty = privacy.lexicon(messages.limit(0), "m", names.limit(0), "v")
+    assert empty.first == empty.last == empty.common == set()
+
+
+def test_one_rule_at_every_size():
+    names = ["Zebulon Quarrington"] + ["Anna Weston"] * 600
+    assert "quarrington" in privacy.Lexicon(names[:400], []).last and "quarrington" in privacy.Lexicon(names, []).last
+
+
 # --- p7 ---
 
 WORDS = "amber basket candle dragon ember falcon goblet hammer island jungle kettle ladder marble needle orchid pepper quartz ribbon saddle timber urchin velvet walnut yellow zephyr anchor bridle copper donkey engine".split()
