@@ -56,8 +56,11 @@ _DROP = {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xFE0F)
 _NOISE = re.compile(r"https?://\S+|(?<![^\s(,;:!?])[@#][\w.\-]*|^\s*rt\s+|&\w+;")
 _CUT = re.compile(r"[.!?:;…]+(?:\s+|$)|\n|\s(?:--?|>>)\s")
 _SPLIT_WORD = re.compile(r"(?<![^\W_])(?:[^\W\d_][._\-*\s]){3,}[^\W\d_](?![^\W_])|(?<![^\W_])(?:[^\W_][._\-]){2,}[^\W_](?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_]\s){3,}[^\W\d_](?![^\W_])")
 _TOKEN = re.compile(r"[^\W_](?:[\w$@!+*'’|]*[\w*])?")
 _STRETCH = re.compile(r"(.)\1{2,}")
+# Fixed value: words of one letter in the three languages; they may stand beside a word split by blanks.
+_ONE = frozenset("aeiouy")
 
 
 def clean(message: str) -> str:
@@ -163,8 +166,19 @@ class Examples:
                 return c
         return self.swapped.get((t[0], "".join(sorted(t))), t) if len(t) > 3 and not force else self.swapped.get((t[0], "".join(sorted(t))), t)
 
+    def _unspaced(self, letters: str) -> str:
+        """The words of a run of single letters: the known word, or the fewest known ones, else one word."""
+        if self._repair(letters) in self.known:
+            return letters
+        best: list[list[str] | None] = [[]]
+        for j in range(1, len(letters) + 1):
+            ways = [[*best[i], letters[i:j]] for i in range(j) if best[i] is not None and (letters[i:j] in _ONE or (j - i > 2 and self._repair(letters[i:j]) in self.known))]
+            best.append(min(ways, key=len, default=None))
+        return " ".join(best[-1] or [letters])
+
     def terms(self, statement: str) -> set[str]:
         """Words (disguises undone) and pairs of neighbouring words, each once."""
+        statement = _SPACED.sub(lambda m: self._unspaced("".join(m[0].split())), statement)
         if "." in statement or "-" in statement or "_" in statement or "*" in statement:
             statement = _SPLIT_WORD.sub(lambda m: re.sub(r"[\W_]", "", m[0]), statement)
         known, words, out = self.known, self.words, []

@@ -45,6 +45,12 @@ def test_disguises(examples, text):
     assert examples.score(text) >= abuse.THRESHOLD
 
 
+@pytest.mark.parametrize(("split", "whole"), [("you are a filthy i d i o t", "you are a filthy idiot"), ("all foreigners are V E R M I N", "all foreigners are vermin"), ("you are a i d i o t", "you are a idiot"), ("i d i o t s l u t", "idiot slut"), ("plan b c d e is open", "plan bcde is open"), ("v e r m i n", "vermin")])
+def test_words_split_by_blanks(examples, split, whole):
+    assert examples.terms(abuse.clean(split)) == examples.terms(abuse.clean(whole))
+    assert examples.score(split) == examples.score(whole)
+
+
 @pytest.mark.parametrize("text", [None, "", "   ", "😀😀", "@you", "#a #b", "http://x.example"])
 def test_nothing_to_score(examples, text):
     assert examples.score(text) == 0.0
