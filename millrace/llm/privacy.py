@@ -78,6 +78,12 @@ def readable(message: str) -> tuple[str, list[int] | None]:
     return "".join(text[i] for i in keep), keep
 
 
+def _may_hold_email(text: str) -> bool:
+    """Whether a text has one of the signs or words that every match of ``_EMAIL`` has."""
+    small = text.lower()
+    return "@" in small or "at" in small or "ät" in small or "arroba" in small
+
+
 def plain_name(word: str) -> str:
     return word.lower() if word.isascii() else unicodedata.normalize("NFKD", word.lower()).translate(_MARKS)
 
@@ -103,8 +109,7 @@ def count_words(messages: Iterable[str | None]) -> tuple[Counter, Counter]:
             text = readable(m)[0]
             if "@" in text or "#" in text or "://" in text:
                 text = _NOISE.sub(" ", text)
-            small = text.lower()
-            if "@" in small or "at" in small or "ät" in small or "arroba" in small:
+            if _may_hold_email(text):
                 text = _EMAIL.sub(" ", text)
             tokens.update(_TOKEN.findall(text))
     for t, n in tokens.items():
@@ -227,7 +232,7 @@ def candidates(text: str, lex: Lexicon) -> list[tuple[str, int, int, list[float]
     """(kind, start, end, features) of every proposed span; handles, tags and links are no text here."""
     bare = _NOISE.sub(lambda m: "\x00" * len(m[0]), text) if "@" in text or "#" in text or "://" in text else text
     out: list[tuple[str, int, int, list[float]]] = []
-    if "@" in bare or "at" in bare or "AT" in bare or "rroba" in bare:
+    if _may_hold_email(bare):
         for m in _EMAIL.finditer(bare):
             out.append(("email", m.start(), m.end(), _email(bare, m)))
     if _DIGIT.search(bare):

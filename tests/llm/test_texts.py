@@ -160,6 +160,11 @@ def test_rows(spark, redactor):
     assert got == {(1, "mail [EMAIL]", ("email",)), (2, None, ()), (None, "", ()), (1, "x" * 30, ())}
 
 
+@pytest.mark.parametrize("text", ["Max ät Host Punkt de", "MAX ÄT HOST PUNKT DE", "MAX ARROBA HOST PUNTO ES", "Joe At Host Dot Com", "joe aT host dot com"])
+def test_every_spelling_of_an_email_is_proposed(redactor, text):
+    assert "email" in {k for k, *_ in privacy.candidates(text, redactor.lex)}
+
+
 def test_word_lists_are_of_all_rows(spark, monkeypatch):
     # 60,000 authors, one of them with a surname and a first name of their own; a rare common word
     names = spark.range(60_000).selectExpr("CASE WHEN id = 777 THEN 'Zebulon Quarrington' WHEN id = 778 THEN NULL ELSE concat('Anna Weston', id % 30000) END AS v")
