@@ -9,7 +9,8 @@ between - and the slots are checked: a passage counts if of twelve consecutive w
 enough stand on the page in order, and the words that fill the template's slots are the item's.
 
 The items are taken in blocks of bounded size, each broadcast to the tasks that scan the pages;
-any number of items is handled, with one scan for each block.
+any number of items is handled, with one scan for each block. How common a window or a word is
+is counted over the items of all blocks.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.scans import fold
-from millrace.session import spread
+from millrace.session import cut, spread
 from millrace.sources.tables import table
 
 #: Items whose windows are broadcast at once; more items are scanned in further blocks.
@@ -49,6 +50,8 @@ eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißi
 uno dos tres cuatro cinco seis siete ocho nueve diez once doce veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien"""
 _NUMBER_FOLDS = frozenset(fold(w) for w in _NUMBERS.split())
 _WORD = re.compile(r"[^\W_]+")
+#: A term that every item has, and no text.
+_ALL = "\n"
 _DIGITS = re.compile(r"\d+$")
 
 
@@ -90,33 +93,48 @@ def _bare(words: list[str]) -> set[int]:
     return out
 
 
+def read_item(text: str | None) -> tuple[list[str], list[str], list[str]] | None:
+    """Words, folded words and template words of an item, or None where it is too short."""
+    raw = _WORD.findall((text or "").lower())
+    if len(raw) < RUN:
+        return None
+    folded = [fold(w) for w in raw]
+    return raw, folded, [template(w, f) for w, f in zip(raw, folded, strict=True)]
+
+
 class Items:
-    """Index of a block of items: windows to items, weights, and the words of each item."""
+    """Index of a block of items: windows to items, weights, and the words of each item.
+
+    ``total`` and ``counts`` are the items of all blocks and how many of them have each word and
+    each window (two words with a blank between); without them the rows are all items.
+    """
 
-    def __init__(self, rows: list[tuple[object, str | None]]) -> None:
+    def __init__(self, rows: list[tuple[object, str | None]], total: int | None = None, counts: dict[str, int] | None = None) -> None:
         self.ids, self.words, self.templates, self.numbers, self.bare = [], [], [], [], []
         self.windows: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
         self.of_word: dict[str, int] = defaultdict(int)
         for key, text in rows:
-            raw = _WORD.findall((text or "").lower())
-            if len(raw) < RUN:
+            parts = read_item(text)
+            if parts is None:
                 continue
-            folded = [fold(w) for w in raw]
+            raw, folded, templates = parts
             at = len(self.ids)
             self.ids.append(key)
             self.words.append(folded)
-            self.templates.append([template(w, f) for w, f in zip(raw, folded, strict=True)])
+            self.templates.append(templates)
             self.numbers.append([bool(_DIGITS.match(w)) for w in raw])
             self.bare.append(_bare(folded))
             for pair in dict.fromkeys(zip(self.templates[-1], self.templates[-1][1:], strict=False)):
                 self.windows[pair].append((at, 0))
             for w in set(folded):
                 self.of_word[w] += 1
-        n = max(1, len(self.ids))
+        if counts is None:
+            counts = {**self.of_word, **{" ".join(p): len(at) for p, at in self.windows.items()}}
+        n = max(1, len(self.ids) if total is None else total)
         self.least = WEIGHT * math.log2(1 + n)
-        self.postings = {p: ([i for i, _ in at], math.log2(1 + n / len(at))) for p, at in self.windows.items()}
+        self.postings = {p: ([i for i, _ in at], math.log2(1 + n / counts[" ".join(p)])) for p, at in self.windows.items()}
         #: words that less than a tenth of the items have fill slots; the rest is template
-        self.slot = {w for w, k in self.of_word.items() if k * 10 < n or n < 10}
+        self.slot = {w for w in self.of_word if counts[w] * 10 < n or n < 10}
 
     def candidates(self, templates: list[str]) -> list[int]:
         """Items that share enough weight of windows with a page."""
@@ -221,6 +239,19 @@ def search(items: Items, text: str | None) -> list[int]:
     return [i for i in found if items.holds(i, page, where, digits)]
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, term) of each item, each term once; _ALL for the item itself."""
+    for batch in batches:
+        blocks, terms = [], []
+        for b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parts = read_item(text)
+            if parts is not None:
+                own = [_ALL, *set(parts[1]), *{" ".join(p) for p in zip(parts[2], parts[2][1:], strict=False)}]
+                terms += own
+                blocks += [b] * len(own)
+        yield pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int64()), "term": pa.array(terms, pa.string())})
+
+
 def leaked(pages: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """(key, item_key) for each page that holds a passage of an item.
 
@@ -233,12 +264,19 @@ def leaked(pages: DataFrame, key: str, text: str, items: DataFrame, item_key: st
     parts = None
     # blocks of items, each read on its own, so that the driver holds one block at a time
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    block = F.pmod(F.xxhash64(item_key), F.lit(blocks))
+    if blocks > 1:  # words and windows are counted over all items; a block gets the counts of its own
+        terms = items.select(block.alias("block"), F.col(item_text).alias("t")).mapInArrow(_terms, "block long, term string").groupBy("block", "term").agg(F.count(F.lit(1)).alias("n"))
+        terms = cut(terms)
+        totals = cut(terms.groupBy("term").agg(F.sum("n").alias("n")))
+        total = (totals.where(F.col("term") == _ALL).first() or {"n": 0})["n"]
     for b in range(blocks):
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == b).select(item_key, item_text).orderBy(item_key).collect()]
-        shared = spark.sparkContext.broadcast(rows)
+        rows = [tuple(r) for r in items.where(block == b).select(item_key, item_text).orderBy(item_key).collect()]
+        counts = {r["term"]: r["n"] for r in totals.join(terms.where(F.col("block") == b).select("term"), "term").collect()} if blocks > 1 else None
+        shared = spark.sparkContext.broadcast((rows, total if blocks > 1 else None, counts))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Items(shared.value)
+            index = Items(*shared.value)
             for batch in batches:
                 keys, found = [], []
                 for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -244,6 +244,20 @@ def test_items_in_blocks_give_the_same(spark, bench, monkeypatch):
     assert {tuple(r) for r in leaks.leaked(pages, "doc_id", "text", items, "item_id", "text").collect()} == whole == {(i, i) for i in range(20)}
 
 
+def test_slots_do_not_depend_on_the_blocks(spark, monkeypatch):
+    r = random.Random(4)
+    made = lambda: "".join(r.choice("bdgkpz") + r.choice("aeiou") for _ in range(4))
+    rows = [(i, f"before each {made()} counts how many parts remain near that {made()} while others wait") for i in range(40)]
+    items = spark.createDataFrame([*rows, (90, None), (91, "too short")], "item_id long, text string")
+    other = [(100 + i, t.replace(t.split()[10], made())) for i, t in rows]  # one of two slots is filled otherwise
+    pages = spark.createDataFrame(rows[:10] + other, "doc_id long, text string")
+    found = lambda: {tuple(x) for x in leaks.leaked(pages, "doc_id", "text", items, "item_id", "text").collect()}
+    whole = found()
+    assert whole == {(i, i) for i in range(10)}
+    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 8)
+    assert found() == whole
+
+
 def test_passages_among_questions_of_one_template():
     r = random.Random(4)
     made = lambda: "".join(r.choice("bdgkpz") + r.choice("aeiou") for _ in range(4))
