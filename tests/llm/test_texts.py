@@ -322,3 +322,11 @@ def test_evidence_query(spark):
     assert got[200]["n_signs"] == got[201]["n_signs"] == 0
     assert got[202]["n_list"] == got[202]["n_signs"]
     assert stuffing.page_evidence(df.limit(0), "doc_id", "text", "source").count() == 0
+
+
+@pytest.mark.parametrize("hosts", [["one"], [None], ["one", "two"]])
+def test_short_pages_and_single_hosts(spark, tmp_path, hosts):
+    texts = {1: SPAM["links"] * 3, 2: ARTICLE, 3: "http://one-two.example/p12", 4: "The mill is open.", 5: "", 6: None}
+    rows = [(10 * n + i, t, h) for n, h in enumerate(hosts) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in stuffing.p8_found(spark, str(tmp_path)).collect()} == {10 * n + i for n in range(len(hosts)) for i in (1, 3)}
