@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from millrace.plans import streams
 from millrace.streaming import windows as W
 
 T0 = dt.datetime(2024, 1, 1)
@@ -49,3 +50,13 @@ def test_stream_with_watermark(spark, tmp_path):
     seen = []
     W.run_once(W.deduplicate(stream.where(F.col("at").isNotNull()), ["id"], "at"), lambda b, n: seen.extend(r["id"] for r in b.collect()), str(tmp_path / "state2"))
     assert sorted(seen) == [1, 2, 3, 4]
+
+
+def test_queries_run_as_streams(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, 7, "a", T0), (1, 7, "a", T0), (2, 8, "b", T0 - dt.timedelta(days=3)), (None, 7, "b", None)], "event_id long, user_id long, event_type string, ts timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(7,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    streamed, run = [], W.run_once
+    monkeypatch.setattr(W, "run_once", lambda df, *a, **k: (streamed.append(df.isStreaming), run(df, *a, **k)))
+    assert rows(streams.QUERIES["watermark_dedup"](spark, str(tmp_path))) == [(2,)]
+    assert rows(streams.QUERIES["stream_static_join"](spark, str(tmp_path))) == [("a", 2), ("b", 1)]
+    assert streamed == [True, True]
