@@ -236,15 +236,15 @@ def test_leak_query_on_odd_rows(spark, bench):
     assert leaks.leaked(pages, "doc_id", "text", items.limit(0).withColumnRenamed("item_id", "item"), "item", "text").count() == 0
 
 
-def test_items_in_blocks_give_the_same(spark, bench, monkeypatch):
+def test_joined_items_give_the_same(spark, bench, monkeypatch):
     items = spark.createDataFrame([(i, t) for i, t in bench], "item_id long, text string")
     pages = spark.createDataFrame([(i, t) for i, t in bench[:20]], "doc_id long, text string")
     whole = {tuple(r) for r in leaks.leaked(pages, "doc_id", "text", items, "item_id", "text").collect()}
-    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 40)
+    monkeypatch.setattr(leaks, "BROADCAST_SIGNS", 0)
     assert {tuple(r) for r in leaks.leaked(pages, "doc_id", "text", items, "item_id", "text").collect()} == whole == {(i, i) for i in range(20)}
 
 
-def test_slots_do_not_depend_on_the_blocks(spark, monkeypatch):
+def test_slots_do_not_depend_on_the_way(spark, monkeypatch):
     r = random.Random(4)
     made = lambda: "".join(r.choice("bdgkpz") + r.choice("aeiou") for _ in range(4))
     rows = [(i, f"before each {made()} counts how many parts remain near that {made()} while others wait") for i in range(40)]
@@ -254,10 +254,36 @@ def test_slots_do_not_depend_on_the_blocks(spark, monkeypatch):
     found = lambda: {tuple(x) for x in leaks.leaked(pages, "doc_id", "text", items, "item_id", "text").collect()}
     whole = found()
     assert whole == {(i, i) for i in range(10)}
-    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 8)
+    monkeypatch.setattr(leaks, "BROADCAST_SIGNS", 0)
     assert found() == whole
 
 
+@pytest.fixture(scope="module")
+def damaged_pages(bench):
+    r = random.Random(12)
+    pages = []
+    for d in range(80):
+        w = r.choice(bench[:60])[1].split()
+        a = r.randrange(len(w) - 13)
+        lines = ["Some article about the town.", " ".join(w[a : a + 6]), "TO LET, A TALL HOUSE", " ".join(w[a + 6 : a + 13]), item(r, 30)]
+        pages.append((f"d{d}", damage("\n".join(lines), r, 0.12)))
+    return pages + pages[:3] + [(None, bench[4][1]), ("e", None), ("f", "")]
+
+
+@pytest.mark.parametrize("copies", [1, 5])
+@pytest.mark.parametrize("signs", [0, 2_000_000])
+def test_damaged_pages_do_not_depend_on_the_way_or_on_copies(spark, bench, damaged_pages, monkeypatch, copies, signs):
+    want = {(d, i) for d, t in damaged_pages for i in leaks.search(leaks.Items(bench), t)}
+    monkeypatch.setattr(leaks, "BROADCAST_SIGNS", signs)
+    items = spark.createDataFrame([(f"{i}-{c}", t) for i, t in bench for c in range(copies)] + [(None, bench[4][1].upper())], "item_id string, text string")
+    pages = spark.createDataFrame(damaged_pages, "doc_id string, text string")
+    got = [tuple(r) for r in leaks.leaked(pages, "doc_id", "text", items, "item_id", "text").collect()]
+    own = [(d, i) for d, i in got if i is not None]
+    assert {(d, int(i.split("-")[0])) for d, i in own} == want and (None, None) in got and len(want) > 60
+    assert {i.split("-")[1] for _, i in own} == {str(c) for c in range(copies)}
+    assert leaks.leaked(pages, "doc_id", "text", items.limit(0), "item_id", "text").count() == leaks.leaked(pages.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
+
+
 def test_passages_among_questions_of_one_template():
     r = random.Random(4)
     made = lambda: "".join(r.choice("bdgkpz") + r.choice("aeiou") for _ in range(4))
