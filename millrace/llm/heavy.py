@@ -1,22 +1,25 @@
 """p3: most frequent items, three-phase threshold top-k over bounded local summaries.
 
-Phase 1: every node (a shuffle partition of the distinct (item, record) pairs) keeps a
-Misra-Gries summary of fixed capacity; an item that holds more than 1/(capacity+1) of a node
-is among that node's leaders, so by the pigeonhole principle an item with that share of all
-pairs is a leader somewhere. Phase 2: leaders are exchanged and summed; the sums are lower
-bounds, the sums plus all decrements are upper bounds, and items whose upper bound misses the
-threshold fall away. Phase 3: only rows of the remaining items are read again, made distinct
-and counted exactly.
+Phase 1: every node (a shuffle partition of the distinct (item, record) pairs) keeps its local counts
+as a Misra-Gries summary of fixed capacity and sends its local leaders; their summed counts are lower
+bounds, and the k-th of them is a lower bound of the k-th count (where a share of all pairs is asked
+for, that share is the bound, if it is larger). Phase 2: an item that reaches the bound has at least
+the bound's part, bound / nodes, on some node; every node sends the items that may have so many, and
+those whose summed upper bound misses the bound fall away. Phase 3: only rows of the remaining items
+are read again, made distinct and counted exactly.
+
+Several fields are counted in one pass. Where a node's summary is too small to hold all items above
+the bound's part, all items are counted exactly by a plain aggregation.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.names import plain
@@ -38,22 +41,33 @@ def _trim(counts: dict[str, int], capacity: int) -> tuple[dict[str, int], int]:
 
 
 def summarise(capacity: int):
-    """A mapInArrow function: batches of (item, ...) to one summary (item, lower, err, n)."""
+    """A mapInArrow function: batches of (field, item, ...) to one summary of each field: rows (node, field, item, lower, err, n).
+
+    ``err`` bounds what any item's count may lack, ``n`` is the number of rows; both stand in the row without an item.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, int] = {}
-        err = n = 0
+        counts: dict[str, dict[str, int]] = {}
+        err: dict[str, int] = {}
+        n: dict[str, int] = {}
         for b in batches:
-            n += b.num_rows
-            vc = pc.value_counts(b.column(0))
-            for k, c in zip(vc.field(0).to_pylist(), vc.field(1).to_pylist(), strict=True):
-                counts[k] = counts.get(k, 0) + c
-            counts, v = _trim(counts, capacity)
-            err += v
-        items = [None, *counts]
-        yield pa.RecordBatch.from_pydict(
-            {"item": pa.array(items, pa.string()), "lower": pa.array([0, *counts.values()], pa.int64()), "err": pa.array([err] + [0] * len(counts), pa.int64()), "n": pa.array([n] + [0] * len(counts), pa.int64())}
-        )
+            table = pa.Table.from_arrays([b.column(0), b.column(1)], ["field", "item"]).group_by(["field", "item"]).aggregate([([], "count_all")])
+            fresh: dict[str, dict[str, int]] = {}
+            for f, k, c in zip(*(table.column(x).to_pylist() for x in ("field", "item", "count_all")), strict=True):
+                fresh.setdefault(f, {})[k] = c
+            for f, add in fresh.items():
+                have = counts.setdefault(f, {})
+                for k, c in add.items():
+                    have[k] = have.get(k, 0) + c
+                counts[f], v = _trim(have, capacity)
+                err[f] = err.get(f, 0) + v
+                n[f] = n.get(f, 0) + sum(add.values())
+        node = TaskContext.get().partitionId() if TaskContext.get() else 0
+        for f, have in counts.items():
+            m = len(have)
+            yield pa.RecordBatch.from_pydict(
+                {"node": pa.array([node] * (m + 1), pa.int32()), "field": pa.array([f] * (m + 1), pa.string()), "item": pa.array([None, *have], pa.string()), "lower": pa.array([0, *have.values()], pa.int64()), "err": pa.array([err[f]] + [0] * m, pa.int64()), "n": pa.array([n[f]] + [0] * m, pa.int64())}
+            )
 
     return run
 
@@ -63,80 +77,108 @@ def pairs_of(df: DataFrame, item: str, record: str) -> DataFrame:
     return df.select(plain(item).alias("item"), F.col(record).alias("record")).where((F.col("item") != "") & F.col("record").isNotNull())
 
 
-def _leaders(pairs: DataFrame, capacity: int) -> tuple[DataFrame, int, int]:
-    """Phases 1 and 2: summed leaders, number of distinct pairs, sum of all decrements."""
-    local = pairs.distinct().mapInArrow(summarise(capacity), "item string, lower long, err long, n long")
-    summed = cut(local.groupBy("item").agg(F.sum("lower").alias("lower"), F.sum("err").alias("err"), F.sum("n").alias("n")))
-    total = summed.where(F.col("item").isNull()).first()
-    return summed.where(F.col("item").isNotNull()).select("item", "lower"), (total["n"] if total else 0), (total["err"] if total else 0)
+def _by_field(values: dict[str, int]) -> Column:
+    """The number of the row's field."""
+    out = F.lit(None).cast("long")
+    for f, v in values.items():
+        out = F.when(F.col("field") == f, F.lit(v).cast("long")).otherwise(out)
+    return out
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.distinct().groupBy("field", "item").agg(F.count(F.lit(1)).alias("n"))
+
+
+def threshold_search(pairs: DataFrame, k: int, capacity: int, bound_of: Callable[[int, int], int]) -> tuple[DataFrame, DataFrame, dict[str, int], dict[str, int]]:
+    """Exact counts of all items of (field, item, record) that reach their field's bound.
+
+    ``bound_of(n, leader)``: the bound, from the number of distinct pairs and the k-th leader's
+    summed count. Gives (field, item, n), the summed summaries (field, item, lower), and by field
+    the bounds and what a count may exceed ``lower`` by. Other items may come out too.
+    """
+    local = cut(pairs.distinct().mapInArrow(summarise(capacity), "node int, field string, item string, lower long, err long, n long"))
+    held = local.where(F.col("item").isNotNull())
+    # phase 1: local leaders are exchanged
+    first = held.withColumn("r", F.row_number().over(Window.partitionBy("field", "node").orderBy(F.desc("lower"), "item"))).where(F.col("r") <= k)
+    sums = first.groupBy("field", "item").agg(F.sum("lower").alias("lower"))
+    leader = sums.withColumn("r", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("lower"), "item"))).where(F.col("r") == k).select("field", F.col("lower").alias("leader"))
+    facts = local.where(F.col("item").isNull()).groupBy("field").agg(F.sum("n").alias("n"), F.sum("err").alias("err"), F.max("err").alias("most"), F.count(F.lit(1)).alias("nodes"))
+    rows = facts.join(leader, "field", "left").collect()  # one row for each field
+    bounds = {r["field"]: max(1, bound_of(r["n"], r["leader"] or 0)) for r in rows}
+    err = {r["field"]: r["err"] for r in rows}
+    summed = held.groupBy("field", "item").agg(F.sum("lower").alias("lower"))
+    if any(r["most"] * r["nodes"] >= bounds[r["field"]] for r in rows):
+        return _counted(pairs), summed, bounds, err
+    # phase 2: items that may have the bound's part on a node, and whose upper bound reaches the bound
+    nodes, own = _by_field({r["field"]: r["nodes"] for r in rows}), local.where(F.col("item").isNull()).select("node", "field", F.col("err").alias("e"))
+    above = held.join(own, ["node", "field"]).where((F.col("lower") + F.col("e")) * nodes >= _by_field(bounds)).select("field", "item").distinct()
+    keys = above.join(summed, ["field", "item"]).where(F.col("lower") + _by_field(err) >= _by_field(bounds)).select("field", "item")
+    # phase 3: their rows are read again
+    few = keys.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS
+    return _counted(pairs.join(F.broadcast(keys) if few else keys, ["field", "item"], "left_semi")), summed, bounds, err
+
+
+def frequent_fields(pairs: DataFrame, share: int = 200, least: int = 10, capacity: int = CAPACITY) -> DataFrame:
+    """(field, item, n) of the items that hold at least 1/``share`` of their field's distinct pairs and at least ``least`` of them."""
+    if capacity <= share:
+        raise ValueError("capacity must exceed share")
+    counted, _, bounds, _ = threshold_search(pairs, share, capacity, lambda n, leader: max(-(-n // share), least, leader))
+    return counted.where(F.col("n") >= _by_field(bounds))
 
 
-def _resolve(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Phase 3: exact number of distinct pairs of each candidate."""
-    few = candidates.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS
-    keys = candidates.select("item")
-    return pairs.join(F.broadcast(keys) if few else keys, "item", "left_semi").distinct().groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+def top_fields(pairs: DataFrame, k: int = 50, capacity: int = CAPACITY) -> DataFrame:
+    """(field, item, lower, upper, n) of the ``k`` most frequent items of each field, ties at the last place included."""
+    counted, summed, _, err = threshold_search(pairs, k, capacity, lambda n, leader: leader)
+    # the limit with ties: the k-th count of a field; the plan ranks before the shuffle, so no task gets all items
+    last = counted.withColumn("r", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "item"))).where(F.col("r") <= k).groupBy("field").agg(F.min("n").alias("least"))
+    best = counted.join(F.broadcast(last), "field").where(F.col("n") >= F.col("least"))
+    lower = F.coalesce("lower", F.lit(0))
+    return best.join(summed, ["field", "item"], "left").select("field", "item", lower.alias("lower"), (lower + _by_field(err)).alias("upper"), "n")
 
 
 def frequent_share(df: DataFrame, item: str, record: str, share: int = 200, least: int = 10, capacity: int = CAPACITY) -> DataFrame:
     """Items that hold at least 1/``share`` of the distinct pairs and at least ``least`` of them.
 
     Columns: item, n (exact). Repeated rows count once; an empty table gives no row; items at
-    exactly the threshold are kept. ``capacity`` must exceed ``share``, else items could be lost.
+    exactly the threshold are kept. ``capacity`` must exceed ``share``.
     """
-    if capacity <= share:
-        raise ValueError("capacity must exceed share")
-    pairs = pairs_of(df, item, record)
-    leaders, total, err = _leaders(pairs, capacity)
-    at_least = max(-(-total // share), least)
-    return _resolve(pairs, leaders.where(F.col("lower") + err >= at_least)).where(F.col("n") >= at_least)
+    return frequent_fields(pairs_of(df, item, record).select(F.lit("").alias("field"), "item", "record"), share, least, capacity).drop("field")
 
 
 def top_k(df: DataFrame, item: str, record: str, k: int = 50, capacity: int = CAPACITY) -> DataFrame:
     """The ``k`` most frequent items by distinct pairs, ties at the last place included.
 
-    Columns: item, lower and upper (bounds from the summaries), n (exact). The lower bound of
-    the k-th leader is the threshold that a candidate's upper bound must reach. An item that is
-    in no summary has at most ``err`` pairs; if the threshold does not exceed that, the top is
-    not separated by the summaries and all items are counted exactly by a plain aggregation.
+    Columns: item, lower and upper (bounds from the summaries), n (exact). Where there are fewer
+    than ``k`` items, all come out.
     """
-    pairs = pairs_of(df, item, record)
-    leaders, _, err = _leaders(pairs, capacity)
-    best = leaders.orderBy(F.desc("lower")).limit(k).agg(F.min("lower").alias("t"), F.count(F.lit(1)).alias("c")).first()
-    if best["c"] == k and best["t"] > err:
-        counted = _resolve(pairs, leaders.where(F.col("lower") + err >= best["t"]))
-    else:
-        counted = pairs.distinct().groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    # the limit with ties: the k-th count is found by a top-k, no window over all items
-    last = counted.orderBy(F.desc("n")).limit(k).agg(F.min("n")).first()[0]
-    bounded = counted.where(F.col("n") >= (last or 0)).join(leaders, "item", "left")
-    return bounded.select("item", F.coalesce("lower", F.lit(0)).alias("lower"), (F.coalesce("lower", F.lit(0)) + err).alias("upper"), "n")
+    return top_fields(pairs_of(df, item, record).select(F.lit("").alias("field"), "item", "record"), k, capacity).drop("field")
 
 
 _FIELDS = (("hashtag", "hashtag"), ("mention", "at_user"))
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [frequent_share(table(spark, d, t), c, "tweet_id").select(F.lit(c).alias("field"), "item") for t, c in _FIELDS]
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    parts = [pairs_of(table(spark, d, t), c, "tweet_id").select(F.lit(c).alias("field"), "item", "record") for t, c in _FIELDS]
     return parts[0].unionByName(parts[1])
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return frequent_fields(_pairs(spark, d)).select("field", "item")
+
+
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     """The items of p3_found with their exact counts."""
-    parts = [frequent_share(table(spark, d, t), c, "tweet_id").select(F.lit(c).alias("field"), "item", "n") for t, c in _FIELDS]
-    return parts[0].unionByName(parts[1])
+    return frequent_fields(_pairs(spark, d))
 
 
 def p3_top(spark: SparkSession, d: str) -> DataFrame:
     """The 50 most used tags and most mentioned names (ties included) with exact counts."""
-    parts = [top_k(table(spark, d, t), c, "tweet_id").select(F.lit(c).alias("field"), "item", "n") for t, c in _FIELDS]
-    return parts[0].unionByName(parts[1])
+    return top_fields(_pairs(spark, d)).select("field", "item", "n")
 
 
 def p3_bounds(spark: SparkSession, d: str) -> DataFrame:
     """The same with the bounds that the summaries alone give for each count."""
-    parts = [top_k(table(spark, d, t), c, "tweet_id").select(F.lit(c).alias("field"), "item", "lower", "upper", "n") for t, c in _FIELDS]
-    return parts[0].unionByName(parts[1])
+    return top_fields(_pairs(spark, d))
 
 
 def _sql(t: str, c: str) -> str:
