@@ -1,11 +1,12 @@
 """p2: items that appear together, as a blocked Gram matrix.
 
-Baskets become binary sparse rows. Rows are cut into record blocks (tasks, and inside a task
-blocks of bounded size) and, where a basket is large, into item blocks: a basket of m items is
-cut into ceil(m / BLOCK) item blocks, and each pair of blocks is one unit of work with at most
-(2 * BLOCK) items, so no basket is ever gathered in one task. In a record block the product of
-the transposed and the plain binary matrix is summed in numpy; only summed counts are shuffled.
-Counts are then normalised by the expected marginals.
+Baskets become rows of a binary sparse matrix X. Rows are cut into record blocks and, where a
+basket is large, into item blocks: a basket of m items is cut into ceil(m / BLOCK) item blocks, and
+each pair of blocks is one unit of work with at most about (2 * BLOCK) items, so no basket is ever
+gathered in one task. For each record block the transposed matrix is multiplied by the matrix, item
+by item (for two item blocks the one's transpose by the other), PRODUCTS terms at a time, so the
+memory of a task is bounded; only summed counts are shuffled. Counts are then normalised by the
+expected marginals.
 
 Items are pruned exactly before: a pair with n_ab >= least needs n_a >= least and n_b >= least,
 and n_ab * n >= lift * n_a * n_b together with n_ab <= min(n_a, n_b) needs lift * max(n_a, n_b)
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,76 +29,74 @@ from millrace.sources.tables import table
 
 #: Items of a basket in one item block.
 BLOCK = 256
-#: Products that a record block may hold before it is summed (bounds a task's memory).
-PRODUCTS = 1_000_000
+#: Entries of a record block, and terms of its product that are summed at a time (they bound a task's memory).
+ENTRIES, PRODUCTS = 250_000, 1_000_000
 #: Items above this share of all rows are few (at most its inverse) and joined by broadcast.
 HOT_SHARE = 1000
 #: Items that can be in a pair are broadcast up to this number, checked before; above it only hot ones are.
 BROADCAST_ITEMS = 200_000
 
 
-def _products(left: np.ndarray, offs: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (earlier, later) element pairs inside each row of a CSR matrix, as index arrays.
+def transpose_product(codes: np.ndarray, start: np.ndarray, length: np.ndarray, right: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(low * width + high, n) of the product of the transpose of a sparse matrix by another one.
 
-    ``side``: 1 where a row is a product of two item blocks; elements carry a block bit in
-    ``left`` and only pairs across the two blocks count.
+    ``codes``: the item of each entry of the first matrix; its record's row of the second one is
+    ``right[start : start + length]``. Entries are taken item by item (that is the transpose), and
+    their terms are summed PRODUCTS at a time; a pair at a border of two sums comes out in both.
     """
-    ends = np.repeat(offs[1:], np.diff(offs))
-    at = np.arange(len(ends))
-    more = ends - at - 1
-    a = np.repeat(at, more)
-    start = np.cumsum(more) - more
-    b = np.arange(len(a)) - np.repeat(start, more) + a + 1
-    if side.any():
-        row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-        keep = (side[row[a]] == 0) | (left[a] != left[b])
-        a, b = a[keep], b[keep]
-    return a, b
+    order = np.argsort(codes, kind="stable")
+    codes, start, length = codes[order], start[order], length[order]
+    ends = np.cumsum(length)
+    at = 0
+    while at < len(codes):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + PRODUCTS, side="right")))
+        n = length[at:to]
+        terms = int(n.sum())
+        if terms:
+            a = np.repeat(codes[at:to], n)
+            b = right[np.arange(terms) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[at:to], n)]
+            yield np.unique(np.minimum(a, b) * width + np.maximum(a, b), return_counts=True)
+        at = to
 
 
 def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (items list<string>, second list<string>) to summed (tag_a, tag_b, n)."""
-
-    def flush(parts: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if not parts:
-            return
-        coded = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
-        words = coded.dictionary
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    """Rows (items list<string>, second list<string>) to summed (tag_a, tag_b, n).
+
+    Where ``second`` is empty, the pairs inside ``items``; else the pairs across the two.
+    """
+
+    def flush(blocks: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = (pa.concat_arrays([b.column(c) for b in blocks]) for c in (0, 1))
+        flat = pa.concat_arrays([one.flatten(), two.flatten()]).dictionary_encode()
+        words, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = sorted(range(len(words)), key=words.__getitem__)
         rank = np.empty(len(words), np.int64)
-        order = np.array(sorted(range(len(words)), key=words.to_pylist().__getitem__), np.int64)
         rank[order] = np.arange(len(words))
-        codes = rank[codes]
-        offs = np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]))])
-        a, b = _products(np.concatenate([p[2] for p in parts]), offs, np.concatenate([p[3] for p in parts]))
-        x, y = codes[a], codes[b]
-        keys, n = np.unique(np.minimum(x, y) * len(words) + np.maximum(x, y), return_counts=True)
-        words = words.take(pa.array(order))
-        for s in range(0, len(keys), 50_000):
-            k = keys[s : s + 50_000]
-            yield pa.RecordBatch.from_arrays([words.take(pa.array(k // len(words))), words.take(pa.array(k % len(words))), pa.array(n[s : s + 50_000].astype(np.int64))], ["tag_a", "tag_b", "n"])
-
-    parts, held = [], 0
+        codes, names = rank[codes], pa.array([words[i] for i in order], pa.string())
+        n1, n2 = (np.asarray(pc.fill_null(pc.list_value_length(x), 0)).astype(np.int64) for x in (one, two))
+        m = int(n1.sum())
+        ends = np.cumsum(n1)
+        later = np.repeat(ends, n1) - np.arange(m) - 1  # entries of the same row behind an entry
+        across = np.repeat(n2 > 0, n1)
+        start = np.where(across, np.repeat(m + np.cumsum(n2) - n2, n1), np.arange(m) + 1)
+        length = np.where(across, np.repeat(n2, n1), later)
+        for keys, n in transpose_product(codes[:m], start, length, codes, max(1, len(words))):
+            for s in range(0, len(keys), 50_000):
+                k = keys[s : s + 50_000]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(k // len(words))), names.take(pa.array(k % len(words))), pa.array(n[s : s + 50_000].astype(np.int64))], ["tag_a", "tag_b", "n"])
+
+    held, entries = [], 0
     for batch in batches:
-        for s in range(0, batch.num_rows, 1000):
-            b = batch.slice(s, 1000)
-            one, two = b.column(0), b.column(1)
-            n1 = np.diff(one.offsets.to_numpy()).astype(np.int64)
-            n2 = np.diff(two.offsets.to_numpy()).astype(np.int64)
-            flat1, flat2 = one.flatten(), two.flatten()
-            if n2.any():  # interleave the two blocks of each row
-                o1, o2 = np.concatenate([[0], np.cumsum(n1)]), np.concatenate([[0], np.cumsum(n2)])
-                index = np.concatenate([np.concatenate([np.arange(o1[i], o1[i + 1]), len(flat1) + np.arange(o2[i], o2[i + 1])]) for i in range(len(n1))]).astype(np.int64)
-                bit = np.concatenate([np.concatenate([np.zeros(n1[i], np.int8), np.ones(n2[i], np.int8)]) for i in range(len(n1))])
-                flat = pa.concat_arrays([flat1, flat2]).take(pa.array(index))
-            else:
-                flat, bit = flat1, np.zeros(len(flat1), np.int8)
-            parts.append((flat, n1 + n2, bit, (n2 > 0).astype(np.int8)))
-            held += int(((n1 + n2) * (n1 + n2 - 1) // 2).sum())
-            if held > PRODUCTS:
-                yield from flush(parts)
-                parts, held = [], 0
-    yield from flush(parts)
+        for s in range(0, batch.num_rows, 500):
+            b = batch.slice(s, 500)
+            held.append(b)
+            entries += len(b.column(0).flatten()) + len(b.column(1).flatten())
+            if entries > ENTRIES:
+                yield from flush(held)
+                held, entries = [], 0
+    if held:
+        yield from flush(held)
 
 
 def together(df: DataFrame, item: str, record: str, least: int = 10, lift: int = 5, block: int = BLOCK) -> DataFrame:
@@ -107,7 +107,8 @@ def together(df: DataFrame, item: str, record: str, least: int = 10, lift: int =
     repeated rows count once; an empty table gives no row. ``lift`` must be at least 1.
     """
     base = cut(pairs_of(df, item, record).distinct())
-    rows, n = base.agg(F.count(F.lit(1)), F.count_distinct("record")).first()
+    facts = base.groupBy("record").agg(F.count(F.lit(1)).alias("m")).agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("rows"), F.count_if(F.col("m") > block).alias("large")).first()
+    rows, n = facts["rows"] or 0, facts["n"]
     counts = base.groupBy("item").agg(F.count(F.lit(1)).alias("c"))
     kept = cut(counts.where((F.col("c") >= least) & (F.col("c") * lift <= n)))
     if kept.count() <= BROADCAST_ITEMS:
@@ -121,10 +122,9 @@ def together(df: DataFrame, item: str, record: str, least: int = 10, lift: int =
     # item blocks of large baskets; sizes come from a count, not from gathered groups
     size = useful.groupBy("record").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block)
     large = size.withColumn("k", F.ceil(F.col("m") / block)).select("record", "k")
-    few = large.limit(BLOCK * 40 + 1).count()
     nothing = F.array().cast("array<string>")
-    if few:
-        giant = F.broadcast(large) if few <= BLOCK * 40 else large
+    if facts["large"]:  # no record has more useful items than items
+        giant = F.broadcast(large) if facts["large"] <= BROADCAST_ITEMS else large
         split = useful.join(giant, "record").withColumn("b", F.pmod(F.xxhash64("item"), F.col("k")))
         small = useful.join(giant.select("record"), "record", "left_anti")
         blocks = split.groupBy("record", "b").agg(F.collect_list("item").alias("items"), F.first("k").alias("k"))

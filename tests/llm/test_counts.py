@@ -79,6 +79,40 @@ def test_gram_products_across_blocks_only():
     assert sorted(got) == [("a", "c", 1), ("b", "c", 1)]
 
 
+def test_memory_of_a_block_is_bounded():
+    import tracemalloc
+
+    rows = [[f"i{(r * 7 + j * 13) % 5000}" for j in range(512)] for r in range(300)]
+    half = pa.array([x[:256] for x in rows], pa.list_(pa.string())), pa.array([x[256:] for x in rows], pa.list_(pa.string()))
+    whole = pa.array(rows, pa.list_(pa.string())), pa.array([[]] * 300, pa.list_(pa.string()))
+    for one, two in (half, whole):
+        tracemalloc.start()
+        total = sum(sum(b.column(2).to_pylist()) for b in pairs.gram(iter([pa.RecordBatch.from_arrays([one, two], ["items", "second"])])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert total == (300 * 256 * 256 if one is half[0] else 300 * 512 * 511 // 2)
+        assert peak < 300e6, peak
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.sampled_from("abcdef")), st.sets(st.sampled_from("ghijk"))), max_size=12), st.sampled_from([1, 3, 1000]))
+def test_transpose_product_equals_brute_force(rows, products):
+    want = defaultdict(int)
+    for one, two in rows:
+        for p in itertools.product(sorted(one), sorted(two)) if two else itertools.combinations(sorted(one), 2):
+            want[p] += 1
+    batch = pa.RecordBatch.from_arrays([pa.array([sorted(r[k]) for r in rows], pa.list_(pa.string())) for k in (0, 1)], ["items", "second"])
+    got, kept = defaultdict(int), pairs.PRODUCTS
+    try:
+        pairs.PRODUCTS = products
+        for b in pairs.gram(iter([batch])):
+            for r in b.to_pylist():
+                got[r["tag_a"], r["tag_b"]] += r["n"]
+    finally:
+        pairs.PRODUCTS = kept
+    assert got == want
+
+
 def test_frequent_share_and_ties(spark):
     rows = [(f"rare{i}", i) for i in range(3000)] + [("#Top", i) for i in range(30)] * 2 + [("edge", i) for i in range(16)] + [(None, 1), ("", 2), ("@", 3)]
     base = distinct(rows)
@@ -110,9 +144,9 @@ def test_top_k_with_ties(spark, capacity):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abcdefghij"), max_size=60), max_size=6), st.integers(2, 5))
 def test_summary_bounds(batches, capacity):
-    data = [pa.RecordBatch.from_pydict({"item": pa.array(b, pa.string())}) for b in batches]
-    (out,) = heavy.summarise(capacity)(iter(data))
-    rows = out.to_pylist()
+    data = [pa.RecordBatch.from_pydict({"field": pa.array(["f"] * len(b), pa.string()), "item": pa.array(b, pa.string())}) for b in batches]
+    out = [r for b in heavy.summarise(capacity)(iter(data)) for r in b.to_pylist()]
+    rows = out or [{"item": None, "n": 0, "err": 0}]
     total, err = rows[0]["n"], rows[0]["err"]
     truth = defaultdict(int)
     for b in batches:
@@ -123,3 +157,18 @@ def test_summary_bounds(batches, capacity):
     for x, n in truth.items():
         assert kept.get(x, 0) <= n <= kept.get(x, 0) + err
         assert n * (capacity + 1) <= total or x in kept
+
+
+def test_fields_are_searched_apart(spark):
+    r = random.Random(11)
+    rows = [(f, f"t{int(r.paretovariate(0.8)) % 300}" if f == "x" else f"u{r.randrange(40)}", i) for i in range(3000) for f in ("x", "y")]
+    counts = defaultdict(int)
+    for f, a, _ in set(rows):
+        counts[f, a] += 1
+    df = spark.createDataFrame([*rows, *rows[:500]], "field string, item string, record long")
+    got = {(x["field"], x["item"], x["n"]) for x in heavy.frequent_fields(df, share=40, capacity=300).collect()}
+    assert got == {(*k, n) for k, n in counts.items() if n >= max(10, -(-3000 // 40))} and {f for f, *_ in got} == {"x", "y"}
+    top = {(x["field"], x["item"], x["n"]) for x in heavy.top_fields(df, 5, capacity=300).collect()}
+    last = {f: sorted((n for (g, _), n in counts.items() if g == f), reverse=True)[4] for f in "xy"}
+    assert top == {(*k, n) for k, n in counts.items() if n >= last[k[0]]}
+    assert heavy.top_fields(df.limit(0)).count() == 0
