@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 #: so that no list that is broadcast can be longer; and the count that a common word needs.
 PART, LEAST = 500_000, 3
 #: Synthetic texts that the trees are trained on, and the precision that thresholds are set for.
-TEXTS, PRECISION = 8000, 0.96
+TEXTS, PRECISION = 12000, 0.96
+#: Every HELD-th template of a kind is held out: texts made of them set the thresholds.
+HELD = 4
 
 # Words beside numbers, forms of addresses, titles, and spoken digits.
 _ID_WORDS = frozenset("ssn dni nif nie passport ausweis personalausweis reisepass pasaporte identity id id-card card steuer-id steueridentifikationsnummer nino insurance licence license national social".split())
@@ -160,7 +163,7 @@ def _numbers(text: str, a: int, b: int, spoken: bool) -> list[float]:
         float("+" in span), float(digits[:1] == "0"), float("(" in span), span.count("-"), span.count("."), span.count(" "), span.count("/"),
         float(span[-1:].isalpha() and not spoken), float(span[:1].isalpha() and not spoken), hit(near, _ID_WORDS), hit(before, _ID_WORDS), hit(near, _PHONE_WORDS), hit(before, _PHONE_WORDS),
         hit(near, _OTHER_WORDS), hit(before, _OTHER_WORDS), hit(after, _ID_WORDS | {"steuer"}), hit(after, _PHONE_WORDS), float("555" in groups), float(digits[:2] in ("97", "98", "00")),
-        float(bool(re.match(r"\d{3}-\d{2}-\d{4}$", span))), float(bool(re.search(r"[.,]\d\d$", span))), float(not before), float(text[b : b + 1] in "%€$£"),
+        float(bool(re.match(r"\d{3}-\d{2}-\d{4}$", span))), float(bool(re.search(r"[.,]\d\d$", span))), float(not before), float(text[b : b + 1] in "%€$£"), float(digits[:2] or -1),
     ]
 
 
@@ -224,7 +227,7 @@ def _names(text: str, lex: Lexicon) -> Iterator[tuple[int, int, list[float]]]:
             yield a, stop, [
                 float(title), float(initial), float(first), float(comma), float(inner), float(q in lex.last), float(q in lex.common), _case(word), _case(t.rstrip(".")) if len(p) > 1 else 1.0,
                 float(following in _FIRM_WORDS), float(text[stop : stop + 3].lstrip()[:1] == "&"), float("-" in word), len(q), float(text[a - 1 : a] in ("@", "#", ".", "_")), float(text[stop : stop + 1] in ("@", "_")),
-                float(following in ("is", "says", "said", "was")), float(bool(before) and before[-1] in _TITLES), float(q in lex.first), float(p in lex.common), float(p in lex.last),
+                float(following in ("is", "says", "said", "was")), float(bool(before) and before[-1] in _TITLES), float(q in lex.first), float(p in lex.common), float(p in lex.last), float(q in _FIRM_WORDS),
             ]
 
 
@@ -256,7 +259,7 @@ def candidates(text: str, lex: Lexicon) -> list[tuple[str, int, int, list[float]
 
 # --- training texts: templates of this module's own, {slots} are filled by ``_Writer`` ---
 
-_PLAIN = """we walked to the river and came home late|the new lamp in the hall works again|market day was fine this week|nobody saw the parcel|good morning from the harbour|der Zug kam pünktlich an|hoy llueve otra vez en el pueblo|the choir sang for two hours|{F} says hello to everyone|{F} was here yesterday|{T} cupboard is my hamster|Mr window is what we call the dog|the {S} Prize was given to a baker|{S} & Sons sell good rope|{S} Ltd opened a shop|the {S} Cup starts on Monday|{S} Hotel is full|{P} is lovely in spring|greetings from {P}|{F} and the others left early|{S} Street is open again|{P} Road is closed until May|I read {n} long streets of text|{n} avenues and no tram|platform {n} Mill Road exit is shut|the road to {P} was wet|{n} people stood at the court|we won {n} to {n}|meet me at the gate at {n}|look at the sky. so clear|be at the station at noon.now|{F} Street choir sings tonight|the lane behind our house|ask the baker at {P}. thanks""".split("|")
+_PLAIN = """we walked to the river and came home late|the new lamp in the hall works again|market day was fine this week|nobody saw the parcel|good morning from the harbour|der Zug kam pünktlich an|hoy llueve otra vez en el pueblo|the choir sang for two hours|{F} says hello to everyone|{F} was here yesterday|{T} cupboard is my hamster|Mr window is what we call the dog|the {S} Prize was given to a baker|{S} & Sons sell good rope|{S} Ltd opened a shop|the {S} Cup starts on Monday|{S} Hotel is full|{P} is lovely in spring|greetings from {P}|{F} and the others left early|{S} Street is open again|{P} Road is closed until May|I read {n} long streets of text|{n} avenues and no tram|platform {n} Mill Road exit is shut|the road to {P} was wet|{n} people stood at the court|we won {n} to {n}|meet me at the gate at {n}|look at the sky. so clear|be at the station at noon.now|{F} Street choir sings tonight|the lane behind our house|{F} Road school has a new roof|the queue at {F} Bakery was long|tea at the {F} Hotel again|{F} Square is full of pigeons|they meet at {F} Theatre|ask the baker at {P}. thanks""".split("|")
 _WITH = {
     "email": "write to {X} please|{X}|mail {X} for tickets|my address is {X} from today|contact: {X}|mail={X}|<{X}>|({X}) or at the door|{N} <{X}>|schreib an {X} wenn du kommst|escribe a {X} hoy|send it to {X} or to me|{X} for orders, no visits|reach us under {X}|photos please to {X}",
     "phone": "call {X} tonight|{X}|tel {X}|tel:{X} for news|my number is {X} now|whatsapp {X}|ring {X} twice|{N}, {X}|ruf an: {X}|llama al {X} por la tarde|text {X} or write|the office answers on {X}|{X} - ask for the cook|lost dog, {X}|mobile {X}, evenings|{X} or {X}, either is fine|{X}. Ask for me|found keys near the mill, {X}|phone {X}",
@@ -321,16 +324,18 @@ class _Writer:
     def other(self) -> str:
         return self._digits(self.r.choice(["4999-9999-99", "9999-99-9999", "978-0-99-999999-9", "99999999", "2999/2999", "10.9.99.9", "9,999.99", "99.999,99", "999999", "9999 9999", "A9-999999", "99-99999-99", "2019-09-29", "19.09.2019"]))
 
-    def text(self) -> tuple[str, list[tuple[str, int, int]]]:
+    def text(self, held: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
+        """A text and its details, from the templates for fitting or (``held``) from the others: every HELD-th of a kind."""
         r = self.r
+        some = lambda templates: [t for n, t in enumerate(templates) if (n % HELD == HELD - 1) == held]
         parts, spans, at = [], [], 0
         for kind in r.sample([*KINDS, "plain", "plain", "number"], r.randint(1, 2)):
             if kind == "plain":
-                t = r.choice(_PLAIN)
+                t = r.choice(some(_PLAIN))
             elif kind == "number":
-                t = r.choice(_NO_NUMBER.split("|"))
+                t = r.choice(some(_NO_NUMBER.split("|")))
             else:
-                t = r.choice(_WITH[kind].split("|"))
+                t = r.choice(some(_WITH[kind].split("|")))
             for piece in re.split(r"(\{\w\})", t):
                 own = None
                 if piece == "{X}":
@@ -356,40 +361,56 @@ class _Writer:
         return "".join(parts), spans
 
 
+def _examples(texts: int, held: bool, own: Lexicon, w: _Writer) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Features and labels of the candidates in texts of the writer, by kind."""
+    x: dict[str, list] = {k: [] for k in KINDS}
+    y: dict[str, list] = {k: [] for k in KINDS}
+    for _ in range(texts):
+        text, spans = w.text(held)
+        for kind, a, b, f in candidates(text, own):
+            same = [(s, e) for k, s, e in spans if k == kind]
+            hit = any(min(b, e) - max(a, s) >= 0.7 * max(b - a, e - s) for s, e in same)
+            if not hit and any(s <= a and b <= e for s, e in same):
+                if kind != "address":
+                    continue  # a part of a span: neither right nor wrong
+                hit = True  # street and number without town or floor
+            x[kind].append(f)
+            y[kind].append(float(hit))
+    return {k: np.array(v, float) for k, v in x.items()}, {k: np.array(v) for k, v in y.items()}
+
+
+@lru_cache(maxsize=4)
+def trained(seed: int, texts: int) -> tuple[dict[str, Boosted], dict[str, float], dict[str, tuple[float, float]]]:
+    """Trees, thresholds and held-out (precision, recall) of each kind; fitted once for a seed.
+
+    Trees fitted on texts of the templates for fitting are measured on texts of templates that they
+    have never seen; that sets the thresholds. The trees that are used are fitted on both.
+    """
+    w = _Writer(seed)
+    own = Lexicon([], [])
+    own.first, own.last = set(map(str.lower, w.firsts[:110])), set(map(str.lower, w.lasts[:150]))
+    own._triggers()
+    own.common = {x.lower() for t in [*_PLAIN, *_NO_NUMBER.split("|"), *(x for v in _WITH.values() for x in v.split("|"))] for x in _TOKEN.findall(t) if x[0].islower()}
+    x, y = _examples(texts - texts // HELD, False, own, w)
+    hx, hy = _examples(texts // HELD, True, own, w)
+    model, threshold, held_out = {}, {}, {}
+    for k in KINDS:
+        p, t = Boosted(trees=40).fit(x[k], y[k]).predict(hx[k]), hy[k]
+        # the lowest threshold between 0.2 and 0.8 that gives the precision on held-out templates
+        fit = [c for c in np.arange(0.2, 0.81, 0.05) if (p >= c).any() and t[p >= c].mean() >= PRECISION]
+        threshold[k] = float(fit[0]) if fit else 0.5
+        hit = p >= threshold[k]
+        held_out[k] = (float(t[hit].mean()) if hit.any() else 1.0, float(hit[t > 0].mean()) if (t > 0).any() else 1.0)
+        model[k] = Boosted(trees=40).fit(np.concatenate([x[k], hx[k]]), np.concatenate([y[k], hy[k]]))
+    return model, threshold, held_out
+
+
 class Redactor:
     """Trained trees and thresholds of each kind, with the word lists."""
 
     def __init__(self, lex: Lexicon, seed: int = 11, texts: int = TEXTS) -> None:
         self.lex = lex
-        w = _Writer(seed)
-        own = Lexicon([], [])
-        own.first, own.last = set(map(str.lower, w.firsts[:110])), set(map(str.lower, w.lasts[:150]))
-        own._triggers()
-        own.common = {x.lower() for t in [*_PLAIN, *_NO_NUMBER.split("|"), *(x for v in _WITH.values() for x in v.split("|"))] for x in _TOKEN.findall(t) if x[0].islower()}
-        x: dict[str, list] = {k: [] for k in KINDS}
-        y: dict[str, list] = {k: [] for k in KINDS}
-        for _ in range(texts):
-            text, spans = w.text()
-            for kind, a, b, f in candidates(text, own):
-                same = [(s, e) for k, s, e in spans if k == kind]
-                hit = any(min(b, e) - max(a, s) >= 0.7 * max(b - a, e - s) for s, e in same)
-                if not hit and any(s <= a and b <= e for s, e in same):
-                    if kind != "address":
-                        continue  # a part of a span: neither right nor wrong
-                    hit = True  # street and number without town or floor
-                x[kind].append(f)
-                y[kind].append(float(hit))
-        self.model, self.threshold, self.held_out = {}, {}, {}
-        for k in KINDS:
-            xs, ys = np.array(x[k], float), np.array(y[k])
-            train = np.arange(len(ys)) % 4 > 0
-            self.model[k] = Boosted(trees=40).fit(xs[train], ys[train])
-            p, t = self.model[k].predict(xs[~train]), ys[~train]
-            # the lowest threshold between 0.2 and 0.8 that gives the precision on held-out texts
-            fit = [c for c in np.arange(0.2, 0.81, 0.05) if (p >= c).any() and t[p >= c].mean() >= PRECISION]
-            self.threshold[k] = float(fit[0]) if fit else 0.5
-            hit = p >= self.threshold[k]
-            self.held_out[k] = (float(t[hit].mean()) if hit.any() else 1.0, float(hit[t > 0].mean()) if (t > 0).any() else 1.0)
+        self.model, self.threshold, self.held_out = trained(seed, texts)
 
     def find(self, messages: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """Selected spans of each message (offsets in the message itself), in order, not overlapping."""
