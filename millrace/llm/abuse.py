@@ -8,7 +8,8 @@ The block maxima bound the cosine that an unwanted example can reach; statements
 MIN_COSINE have no evidence and score 0 without reading any posting, and blocks that can't are
 skipped for the rest, so the result equals the full search. The votes of the NEIGHBOURS nearest
 examples, weighted by the squared cosine, are the score of a statement, the largest score of its
-statements that of a message.
+statements that of a message. Scores are calibrated on labelled messages that were scored by the
+others; the calibrated probability decides.
 
 The classifier is fitted on a bounded sample of the labelled rows (SAMPLE); everything else reads
 every row and the whole text.
@@ -21,6 +22,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,8 @@ NEIGHBOURS = 15
 MIN_COSINE = 0.35
 #: Share of the nearest example's cosine that the other neighbours need.
 CLOSE = 0.6
-THRESHOLD = 0.5
+#: Calibrated probability from which a message is unwanted, and parts that the examples are cut into for the calibration.
+THRESHOLD, FOLDS = 0.5, 3
 BLOCK = 64
 #: Rounds of editing the examples at most, the count that a term's odds start with, what the sum
 #: of the odds counts for (neighbouring pairs repeat one another), and the log odds of a label.
@@ -87,7 +90,7 @@ class Examples:
             # a label of one statement is its own; of several, an unwanted label holds for one of them
             raw += [(i, y, s, -LABEL if y == 0 else LABEL if len(own) == 1 else 0.0) for s in own]
         seen = Counter(w for _, _, s, _ in raw for w in _TOKEN.findall(s) if w.isalpha())
-        self.known = {w for w, n in seen.items() if n > 1 or len(seen) < 500}
+        self.known = {w for w, n in seen.items() if n > 1}
         self._repairs()
         for w in [w for w in self.known if self._repair(w, True) != w and seen[w] * 20 < seen[self._repair(w, True)]]:
             self.known.discard(w)  # a disguise that came twice
@@ -284,25 +287,52 @@ class Examples:
         return best
 
 
-def calibration(rows: list[tuple[int, str, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and the share of unwanted labels at them, rising: a quarter of the sample is scored by
-    the rest, and neighbouring scores are pooled until the shares rise."""
-    test, train = rows[::4], [r for i, r in enumerate(rows) if i % 4]
-    if not test or not train:
-        return np.array([0.0, 1.0]), np.array([0.0, 1.0])
-    e = Examples(train)
-    same: dict[float, list[float]] = {}
-    for _, m, y in test:
-        at = same.setdefault(e.score(m), [0.0, 0.0])
-        at[0] += y
-        at[1] += 1
-    pools: list[list[float]] = []  # largest score, sum of labels, number
-    for x in sorted(same):
-        pools.append([x, *same[x]])
-        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
-            x2, y2, n2 = pools.pop()
-            pools[-1] = [x2, pools[-1][1] + y2, pools[-1][2] + n2]
-    return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
+def calibration(rows: list[tuple[int, str, int]]) -> tuple[float, float]:
+    """Slope and intercept of the log odds of being unwanted, as a line over the score.
+
+    Each part of the sample is scored by the rest; the line is fitted to those scores and their labels
+    by maximum likelihood (most scores are near 0 or 1, too few lie between for a free curve). One
+    label at 0 and one at 1 are added, so that the line is defined without any; it never falls.
+    """
+    x, y = [0.0, 1.0], [0.0, 1.0]
+    for f in range(FOLDS):
+        e = Examples([r for i, r in enumerate(rows) if i % FOLDS != f])
+        for _, m, label in rows[f::FOLDS]:
+            x.append(e.score(m))
+            y.append(float(label))
+    points, labels = np.stack([np.array(x), np.ones(len(x))], 1), np.array(y)
+    line = np.zeros(2)
+    for _ in range(50):  # Newton steps with a little ridge
+        p = 1 / (1 + np.exp(-points @ line))
+        step = np.linalg.solve(points.T @ (points * (p * (1 - p))[:, None]) + 0.1 * np.eye(2), points.T @ (labels - p) - 0.1 * line)
+        line = line + step
+        if abs(step).max() < 1e-9:
+            break
+    return max(0.0, float(line[0])), float(line[1])
+
+
+class Classifier:
+    """Fitted examples and their calibration."""
+
+    def __init__(self, rows: list[tuple[int, str, int]]) -> None:
+        self.examples = Examples(rows)
+        self.slope, self.intercept = calibration(rows)
+
+    def probability(self, score):
+        """Probability of being unwanted at a score (a number or an array)."""
+        return 1 / (1 + np.exp(-(self.slope * np.asarray(score) + self.intercept)))
+
+
+@lru_cache(maxsize=4)
+def _fitted(rows: tuple[tuple[int, str, int], ...]) -> Classifier:
+    return Classifier(list(rows))
+
+
+def fitted(rows: list[tuple[int, str, int]]) -> Classifier:
+    """The classifier of these labelled messages; fitted once, with empty memos."""
+    c = _fitted(tuple(rows))
+    c.examples.memo, c.examples.words = {}, {}
+    return c
 
 
 def labelled(messages: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, sample: int = SAMPLE) -> list[tuple[int, str, int]]:
@@ -317,68 +347,62 @@ def labelled(messages: DataFrame, key: str, text: str, labels: DataFrame, label_
 
 
 def score_messages(messages: DataFrame, key: str, text: str, examples: list[tuple[int, str, int]]) -> DataFrame:
-    """(key, score) of every row. No shuffle; rows with null or empty messages have score 0."""
-    fitted = Examples(examples)
-    fitted.memo, fitted.words = {}, {}
-    shared = messages.sparkSession.sparkContext.broadcast(fitted)
+    """(key, score, probability) of every row: the vote and its calibrated probability. No shuffle; rows
+    with null or empty messages have score 0."""
+    shared = messages.sparkSession.sparkContext.broadcast(fitted(examples))
     kind = messages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = shared.value
+        c = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([e.score(m) for m in b.column(1).to_pylist()], pa.float64())], ["key", "score"])
+            scores = np.array([c.examples.score(m) for m in b.column(1).to_pylist()], float)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array(c.probability(scores))], ["key", "score", "probability"])
 
-    return spread(messages.select(key, text)).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    return spread(messages.select(F.col(key).alias("k"), F.col(text).alias("t"))).mapInArrow(run, f"key {kind}, score double, probability double").withColumnRenamed("key", key)
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    tweets = table(spark, d, "tweet")
-    return score_messages(tweets, "id", "message", labelled(tweets, "id", "message", table(spark, d, "tweet_label"), "tweet_id", "unwanted"))
+def _labelled(spark: SparkSession, d: str) -> list[tuple[int, str, int]]:
+    return labelled(table(spark, d, "tweet"), "id", "message", table(spark, d, "tweet_label"), "tweet_id", "unwanted")
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).where((F.col("score") >= THRESHOLD) & F.col("id").isNotNull()).select(F.col("id").alias("tweet_id")).distinct()
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return score_messages(table(spark, d, "tweet"), "id", "message", _labelled(spark, d)).where(F.col("id").isNotNull())
 
 
-def _largest(scored: DataFrame) -> DataFrame:
-    return scored.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("tweet_id")).agg(F.max("score").alias("score"))
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where(F.col("probability") >= THRESHOLD).select(F.col("id").alias("tweet_id")).distinct()
 
 
 def p4_scores(spark: SparkSession, d: str) -> DataFrame:
     """Score of every tweet id (the largest of its rows) and the calibrated probability of being unwanted."""
-    tweets = table(spark, d, "tweet")
-    rows = labelled(tweets, "id", "message", table(spark, d, "tweet_label"), "tweet_id", "unwanted")
-    tops, shares = calibration(rows)
-    step = F.lit(float(shares[-1]))
-    for x, p in zip(tops[-2::-1], shares[-2::-1], strict=True):  # few steps: the pools of the calibration
-        step = F.when(F.col("score") <= float(x), float(p)).otherwise(step)
-    return _largest(score_messages(tweets, "id", "message", rows)).withColumn("probability", step)
+    return _scored(spark, d).groupBy(F.col("id").alias("tweet_id")).agg(F.max("score").alias("score"), F.max("probability").alias("probability"))
 
 
 def p4_evidence(spark: SparkSession, d: str) -> DataFrame:
     """For each row of an unwanted tweet the statement that counts and the labelled tweets nearest to it."""
-    tweets = table(spark, d, "tweet")
-    shared = spark.sparkContext.broadcast(Examples(labelled(tweets, "id", "message", table(spark, d, "tweet_label"), "tweet_id", "unwanted")))
+    shared = spark.sparkContext.broadcast(fitted(_labelled(spark, d)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = shared.value
+        c = shared.value
         for b in batches:
-            rows = [(k, *e.evidence(m)) for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if k is not None and e.score(m) >= THRESHOLD]
+            ids, messages = b.column(0).to_pylist(), b.column(1).to_pylist()
+            unwanted = [(k, m) for k, m in zip(ids, messages, strict=True) if k is not None and c.probability(c.examples.score(m)) >= THRESHOLD]
+            rows = [(k, *e) for k, m in unwanted if (e := c.examples.evidence(m)) is not None]
             yield pa.RecordBatch.from_pydict(
-                {"tweet_id": pa.array([r[0] for r in rows], pa.int64()), "statement": pa.array([r[1] for r in rows], pa.string()), "examples": pa.array([[i for i, _ in r[2]] for r in rows], pa.list_(pa.int64())), "cosines": pa.array([[c for _, c in r[2]] for r in rows], pa.list_(pa.float64()))}
+                {"tweet_id": pa.array([r[0] for r in rows], pa.int64()), "statement": pa.array([r[1] for r in rows], pa.string()), "examples": pa.array([[i for i, _ in r[2]] for r in rows], pa.list_(pa.int64())), "cosines": pa.array([[x for _, x in r[2]] for r in rows], pa.list_(pa.float64()))}
             )
 
-    return spread(tweets.select("id", "message")).mapInArrow(run, "tweet_id long, statement string, examples array<long>, cosines array<double>")
+    return spread(table(spark, d, "tweet").select("id", "message")).mapInArrow(run, "tweet_id long, statement string, examples array<long>, cosines array<double>")
 
 
 def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     """Tweets and share of unwanted ones of each author (plain form; null for none)."""
     authors = table(spark, d, "tweet").where(F.col("id").isNotNull()).groupBy(F.col("id").alias("tweet_id")).agg(F.min(plain("author")).alias("author"))
     return (
-        _largest(_scored(spark, d))
+        p4_scores(spark, d)
         .join(authors, "tweet_id")
         .groupBy("author")
-        .agg(F.count(F.lit(1)).alias("n_tweets"), F.avg((F.col("score") >= THRESHOLD).cast("double")).alias("unwanted_rate"))
+        .agg(F.count(F.lit(1)).alias("n_tweets"), F.avg((F.col("probability") >= THRESHOLD).cast("double")).alias("unwanted_rate"))
     )
 
 

@@ -83,15 +83,20 @@ def test_evidence_and_calibration(examples):
     by_id = {i: m for i, m, _ in labelled(1)}
     assert all(any(w in by_id[i] for w in ("idiot", "filthy")) for i, _ in near)
     assert examples.evidence("the mill is open") is None and examples.evidence(None) is None
-    tops, shares = abuse.calibration(labelled(1))
-    assert list(tops) == sorted(tops) and list(shares) == sorted(shares) and shares[0] < 0.2 and shares[-1] > 0.8
-    assert len(abuse.calibration([])[0]) == 2
+    slope, intercept = abuse.calibration(labelled(1))
+    at = lambda x: 1 / (1 + 2.718281828 ** -(slope * x + intercept))
+    assert slope > 0 and at(0.0) < 0.2 and at(1.0) > 0.8 and at(0.2) < at(0.4)
+    assert len(abuse.calibration([])) == 2
+    c = abuse.fitted(labelled(1))
+    assert c is abuse.fitted(labelled(1)) and c.probability(0.0) < 0.2 and c.probability(1.0) > 0.8
+    assert abuse.Classifier([]).probability(0.0) < 0.5
 
 
 def test_scores_of_rows(spark, examples):
     df = spark.createDataFrame([(1, "you are a filthy idiot", 0.5), (2, None, 0.1), (None, "", 0.2), (1, "the mill is open", 0.3)], "id long, message string, score double")
     got = abuse.score_messages(df, "id", "message", labelled(1)).collect()
     assert len(got) == 4 and max(r["score"] for r in got if r["id"] == 1) >= 0.5
+    assert {(r["id"], r["probability"] >= 0.5) for r in got} == {(1, True), (1, False), (2, False), (None, False)}
     assert abuse.score_messages(df.limit(0), "id", "message", []).count() == 0
 
 
@@ -107,6 +112,10 @@ def test_bounded_sample(spark):
     df = spark.range(5000).selectExpr("id", "CAST(id AS STRING) AS v").union(spark.range(10).selectExpr("id", "CAST(NULL AS STRING)"))
     a, b = ([r["v"] for r in bounded_sample(df.select("v"), "v", 100).collect()] for _ in range(2))
     assert a == b and len(a) == 100 and None not in a
+    many = df.union(spark.range(20_000).selectExpr("7", "'7'"))  # one value holds most rows
+    assert [r["v"] for r in bounded_sample(many.select("v"), "v", 100).collect()] == a
+    assert len(bounded_sample(df.select("v").limit(30), "v", 100).collect()) == 30
+    assert bounded_sample(df.select("v").limit(0), "v", 100).count() == 0
 
 
 # --- p5 ---
