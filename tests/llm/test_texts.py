@@ -354,11 +354,25 @@ def test_evidence_query(spark):
     assert len(got) == len(rows)
     for i in range(12):
         assert got[i]["n_list"] * 2 > got[i]["n_signs"] and got[i]["n_replicated"] >= 0.5 * got[i]["n_phrases"], got[i]
+        assert got[i]["n_signs"] >= got[i]["s_replicated"] > got[i]["n_signs"] / 2
     assert got[200]["n_signs"] == got[201]["n_signs"] == 0
     assert got[202]["n_list"] == got[202]["n_signs"]
     assert stuffing.page_evidence(df.limit(0), "doc_id", "text", "source").count() == 0
 
 
+@pytest.mark.parametrize("name", [*SPAM, *HONEST])
+def test_phrases_cover_the_lists(name):
+    _, lists, runs = stuffing.read_page(SPAM.get(name, HONEST.get(name)) * 2)
+    assert sum(stuffing.phrases_of(runs).values()) == pytest.approx(lists)
+
+
+def test_lists_of_one_host_alone_are_not_found(spark, tmp_path):
+    # both pages are lists; only the phrases of the first stand on another host too
+    rows = [(1, SPAM["tags"] * 3, "a"), (2, SPAM["tags"] * 3, "b"), (3, SPAM["codes"] * 3, "a"), (4, ARTICLE, "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in stuffing.p8_found(spark, str(tmp_path)).collect()} == {1, 2}
+
+
 @pytest.mark.parametrize("hosts", [["one"], [None], ["one", "two"]])
 def test_short_pages_and_single_hosts(spark, tmp_path, hosts):
     texts = {1: SPAM["links"] * 3, 2: ARTICLE, 3: "http://one-two.example/p12", 4: "The mill is open.", 5: "", 6: None}
