@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -228,10 +228,10 @@ def decode(ids: list[int], bytes_of: dict[int, bytes]) -> str:
 _LOADED: dict[str, Transducer] = {}
 
 
-def transducer(path: str) -> Transducer:
-    """The transducer of a vocabulary file; one in each Python worker."""
+def transducer(path: str, ranks: Callable[[], dict[bytes, int]] | None = None) -> Transducer:
+    """The transducer of a vocabulary; one in each Python worker. ``ranks`` gives the tokens where the file is elsewhere."""
     if path not in _LOADED:
-        _LOADED[path] = Transducer(ranks_of(path))
+        _LOADED[path] = Transducer(ranks() if ranks else ranks_of(path))
     return _LOADED[path]
 
 
@@ -240,12 +240,14 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bp
 
     Null and empty texts have the empty list; strings of special tokens in a text are ordinary
     text; texts of any length are read whole; repeated rows and null keys come out as they are;
-    an empty table gives no row. Other columns are not read. No shuffle.
+    an empty table gives no row. Other columns are not read. No shuffle. The vocabulary (a file of
+    fixed size) is read here and broadcast, so executors need no copy of it.
     """
     path = f"{folder or VOCABULARIES}/{vocabulary}.tiktoken"
+    shared = df.sparkSession.sparkContext.broadcast(ranks_of(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = transducer(path)
+        t = transducer(path, lambda: shared.value)
         for b in batches:
             flat: list[int] = []
             offsets = [0]
