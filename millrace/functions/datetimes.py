@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,6 +72,28 @@ def format_time(us, fraction: bool = False) -> Column:
     return F.concat(out, F.lit("."), pad(a % 1_000_000, 6)) if fraction else out
 
 
+def cast_time(x) -> Column:
+    """CAST(x AS TIME): the time of a datetime, or a time text in its normal form; NULL if it is none."""
+    t = _c(x).cast("string")
+    clock = F.when(t.rlike(r"^\d{4}-\d\d-\d\d[ T]"), F.substring(t, 12, 15)).otherwise(t)
+    return format_time(time_micros(clock))
+
+
+def curtime() -> Column:
+    """CURTIME: the time of day at the start of the query, hh:mm:ss."""
+    return F.date_format(F.current_timestamp(), "HH:mm:ss")
+
+
+def sysdate() -> Column:
+    """SYSDATE: the instant at which a task reads its first row of a batch, not the start of the query."""
+
+    @F.pandas_udf("timestamp")
+    def clock(x: pd.Series) -> pd.Series:
+        return pd.Series(pd.Timestamp.now(tz="UTC").tz_localize(None), index=x.index)
+
+    return clock.asNondeterministic()(F.lit(0)).cast("timestamp_ntz")
+
+
 def sec_to_time(n, fraction: bool = False) -> Column:
     return format_time(F.round(_c(n).cast("decimal(20,6)") * 1_000_000).cast("long"), fraction)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -52,22 +53,53 @@ def json_array(*xs) -> Column:
     return F.to_json(F.array(*[_c(x) for x in xs]))
 
 
+def path_steps(path: str) -> list[str | int]:
+    """Steps of a path: member names and array positions; names may be quoted."""
+    steps: list[str | int] = []
+    at = 1
+    if path[:1] != "$":
+        raise ValueError(path)
+    for m in re.finditer(r'\.(?:"([^"]*)"|([^.\[\]"]+))|\[(\d+)\]', path):
+        if m.start() != at:
+            raise ValueError(path)
+        at = m.end()
+        steps.append(int(m[3]) if m[3] else m[1] if m[1] is not None else m[2])
+    if at != len(path):
+        raise ValueError(path)
+    return steps
+
+
+def _put(doc, steps: list[str | int], value):
+    """The document with the value at the path; missing members on the way are made, if a name follows."""
+    if not steps:
+        return value
+    step, rest = steps[0], steps[1:]
+    if isinstance(step, int):
+        if not isinstance(doc, list):  # a single value counts as an array of one
+            return _put(doc, rest, value) if step == 0 else doc if rest else [doc, value]
+        if step < len(doc):
+            return [*doc[:step], _put(doc[step], rest, value), *doc[step + 1 :]]
+        return doc if rest else [*doc, value]
+    if not isinstance(doc, dict) or (rest and step not in doc and isinstance(rest[0], int)):
+        return doc
+    return {**doc, step: _put(doc.get(step, {} if rest else None), rest, value)}
+
+
 def json_set(doc, path: str, value) -> Column:
-    """The document with the member at a path of names set; other documents and NULL stay."""
-    names = [p for p in path.removeprefix("$").split(".") if p]
+    """The document with the value at a path of names and array positions (``$.a[0].b``).
+
+    An existing value is replaced; a missing member is added, with the members on the way to it; a
+    position behind the end of an array appends. Where the way leads through another kind of value,
+    or the text is no JSON, nothing changes. NULL stays NULL.
+    """
+    steps = path_steps(path)
 
     @F.pandas_udf("string")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, v in zip(a, b, strict=True):
-            d = _parsed(x)
-            if isinstance(d, dict):
-                at = d
-                for n in names[:-1]:
-                    at = at.setdefault(n, {}) if isinstance(at, dict) else {}
-                if isinstance(at, dict):
-                    at[names[-1]] = v if not hasattr(v, "item") else v.item()
-                x = json.dumps(d)
+            if x is not None and ((d := _parsed(x)) is not None or x.strip() == "null"):
+                x = json.dumps(_put(d, steps, v.item() if hasattr(v, "item") else v), ensure_ascii=False)
             out.append(x)
         return pd.Series(out, dtype=object)
 

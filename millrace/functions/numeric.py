@@ -35,8 +35,14 @@ def modulo(a, b) -> Column:
     return F.try_mod(_c(a), _c(b))
 
 
+def truncate_exact(x, d: int) -> Column:
+    """An integer or DECIMAL cut to d digits towards zero (d may be negative), in decimal arithmetic."""
+    x = _c(x)
+    return F.when(x < 0, F.ceil(x, F.lit(d))).otherwise(F.floor(x, F.lit(d)))
+
+
 def truncate(x, d: int) -> Column:
-    """x cut to d digits towards zero (d may be negative)."""
+    """A DOUBLE cut to d digits towards zero (d may be negative); ``truncate_exact`` is for DECIMAL."""
     p = F.lit(10.0**d)
     x = _c(x).cast("double")
     return F.signum(x) * F.floor(F.abs(x) * p) / p

@@ -82,10 +82,27 @@ def mbr_equals(a, b) -> Column:
     return (_c(a) == _c(b)).cast("int")
 
 
+def _edges(ring: Column) -> Column:
+    """Pairs of neighbouring points (a, b) of a line."""
+    return F.arrays_zip(F.slice(ring, F.lit(1), F.size(ring) - 1).alias("a"), F.slice(ring, F.lit(2), F.size(ring) - 1).alias("b"))
+
+
+def st_on_line(p, line) -> Column:
+    """1 if a point lies on a line (array of points)."""
+    p = _c(p)
+
+    def on(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        straight = (b["x"] - a["x"]) * (p["y"] - a["y"]) == (b["y"] - a["y"]) * (p["x"] - a["x"])
+        between = lambda k: (p[k] >= F.least(a[k], b[k])) & (p[k] <= F.greatest(a[k], b[k]))
+        return straight & between("x") & between("y")
+
+    return F.exists(_edges(_c(line)), on).cast("int")
+
+
 def st_within(p, ring) -> Column:
-    """1 if a point lies inside a ring (array of points, closed); even-odd rule, in array functions."""
+    """1 if a point lies inside a ring (array of points, closed), its border not included; even-odd rule, in array functions."""
     p, ring = _c(p), _c(ring)
-    edges = F.arrays_zip(F.slice(ring, F.lit(1), F.size(ring) - 1).alias("a"), F.slice(ring, F.lit(2), F.size(ring) - 1).alias("b"))
 
     def crosses(e: Column) -> Column:
         a, b = e["a"], e["b"]
@@ -93,8 +110,22 @@ def st_within(p, ring) -> Column:
         at = (b["x"] - a["x"]) * (p["y"] - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"]
         return spans & (p["x"] < at)
 
-    return (F.size(F.filter(edges, crosses)) % 2).cast("int")
+    inside = (F.size(F.filter(_edges(ring), crosses)) % 2).cast("int")
+    return F.when(st_on_line(p, ring) == 1, 0).otherwise(inside)
+
+
+def st_within_polygon(p, polygon_) -> Column:
+    """1 if a point lies inside a polygon (array of rings: the outer one, then holes); borders are not inside."""
+    rings = _c(polygon_)
+    hole = F.exists(F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))), lambda r: (st_within(p, r) == 1) | (st_on_line(p, r) == 1))
+    return F.when(hole, 0).otherwise(st_within(p, rings[0]))
+
+
+def st_contains(polygon_, p) -> Column:
+    """1 if a polygon contains a point."""
+    return st_within_polygon(p, polygon_)
 
 
-def st_contains(ring, p) -> Column:
-    return st_within(p, ring)
+def line_as_text(line) -> Column:
+    q = F.transform(_c(line), lambda p: F.concat(_number(p["x"]), F.lit(" "), _number(p["y"])))
+    return F.concat(F.lit("LINESTRING("), F.array_join(q, ","), F.lit(")"))

@@ -70,6 +70,19 @@ def elt(n, *options) -> Column:
     return F.try_element_at(F.array(*[F.lit(o) for o in options]), F.when((_c(n) >= 1) & (_c(n) <= len(options)), _c(n)))
 
 
+# The code of each letter from A to Z.
+_SOUNDEX = "01230120022455012623010202"
+
+
+def soundex(s) -> Column:
+    """SOUNDEX of any length: vowels fall away first, then runs of one code; letters A to Z only."""
+    letters = F.regexp_replace(F.upper(_c(s)), "[^A-Z]", "")
+    codes = F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", _SOUNDEX)
+    rest = F.regexp_replace(F.concat(F.left(codes, F.lit(1)), F.replace(F.substring(codes, 2, 2**31 - 1), F.lit("0"), F.lit(""))), r"(.)\1+", "$1")
+    out = F.concat(F.left(letters, F.lit(1)), F.substring(rest, 2, 2**31 - 1))
+    return F.when(letters == "", "").when(F.length(out) < 4, F.rpad(out, 4, "0")).otherwise(out)
+
+
 def gbk_bytes(s) -> Column:
     """Bytes of a string in GBK (Spark's encode does not know it); unmappable characters become '?'."""
     @F.pandas_udf("binary")

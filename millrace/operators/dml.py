@@ -3,18 +3,22 @@
 Tables are values here (a DataFrame in, a DataFrame out); write the result with ``write.parquet``
 or as a table. Keys compare null-safe: a null key is a key like any other. None of the functions
 collects rows. Where rows of the batch repeat a key, each docstring says which one counts;
-``seq`` names a column that orders the batch.
+``seq`` names a column that orders the batch, rows with the same ``seq`` are ordered by their values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ROW = "__row"
+#: Rows of one key that are folded in order by a function.
+FOLD_ROWS = 100_000
 
 
 class DuplicateKey(ValueError):
@@ -25,6 +29,17 @@ class CheckFailed(ValueError):
     """A row lies outside the condition of a view or constraint."""
 
 
+class TooManyRepeats(ValueError):
+    """A key has more rows in a batch than can be folded in order."""
+
+
+@dataclass
+class Plus:
+    """Assignment ``c = c + value``; ``value`` is over ``new.c``. Sums of parts are combined, so a key may have any number of rows."""
+
+    value: Column
+
+
 def _same(a: DataFrame, b: DataFrame, key: Sequence[str], x: str, y: str) -> Column:
     return reduce(lambda p, q: p & q, (F.col(f"{x}.{k}").eqNullSafe(F.col(f"{y}.{k}")) for k in key))
 
@@ -33,16 +48,23 @@ def _pair(a: DataFrame, b: DataFrame, key: Sequence[str], how: str) -> DataFrame
     return a.alias("a").join(b.alias("b"), _same(a, b, key, "a", "b"), how)
 
 
+def _order(batch: DataFrame, seq: str) -> Column:
+    """Total order of a batch: ``seq``, then the values (columns without an order aside)."""
+    return F.struct(F.col(seq), *[F.col(f"`{f.name}`") for f in batch.schema if f.name != seq and not isinstance(f.dataType, (T.MapType, T.VariantType))])
+
+
+def _row(batch: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in batch.columns])
+
+
 def last_of(batch: DataFrame, key: Sequence[str], seq: str) -> DataFrame:
     """The row with the largest ``seq`` of each key; an aggregate, so that a hot key is combined before the shuffle."""
-    row = F.struct(*[F.col(f"`{c}`") for c in batch.columns])
-    return batch.groupBy(*key).agg(F.max_by(row, F.struct(seq)).alias(_ROW)).select(f"{_ROW}.*")
+    return batch.groupBy(*key).agg(F.max_by(_row(batch), _order(batch, seq)).alias(_ROW)).select(f"{_ROW}.*")
 
 
 def first_of(batch: DataFrame, key: Sequence[str], seq: str) -> DataFrame:
     """The row with the smallest ``seq`` of each key (a null ``seq`` is the smallest)."""
-    row = F.struct(*[F.col(f"`{c}`") for c in batch.columns])
-    return batch.groupBy(*key).agg(F.min_by(row, F.struct(seq)).alias(_ROW)).select(f"{_ROW}.*")
+    return batch.groupBy(*key).agg(F.min_by(_row(batch), _order(batch, seq)).alias(_ROW)).select(f"{_ROW}.*")
 
 
 def insert(table: DataFrame, batch: DataFrame) -> DataFrame:
@@ -86,20 +108,65 @@ def replace_into(table: DataFrame, batch: DataFrame, key: Sequence[str], seq: st
     return insert(_pair(table, new.select(*key), key, "left_anti").select(*table.columns), new.select(*table.columns))
 
 
-def upsert(table: DataFrame, batch: DataFrame, key: Sequence[str], seq: str, set_: dict[str, Column]) -> DataFrame:
-    """INSERT ... ON DUPLICATE KEY UPDATE.
+def upsert(table: DataFrame, batch: DataFrame, key: Sequence[str], seq: str, set_: dict[str, Column | Plus | Callable[[Column, Column], Column]]) -> DataFrame:
+    """INSERT ... ON DUPLICATE KEY UPDATE: the rows of the batch are taken one after another, in the order of ``seq``.
 
-    ``set_`` gives new values of columns over ``old.c`` and ``new.c`` (the incoming value). Keys
-    of the batch that exist are updated, the others inserted; of repeated keys the last counts.
+    A row whose key exists by then updates it, the first row of a new key is inserted, so later rows
+    of that key update it. ``set_`` gives the new values of columns: a Column over ``new.c`` (the incoming
+    row), ``Plus``, or a function of (old, new), rows whose columns are ``old["c"]``; assignments run left
+    to right and see earlier ones. Columns and ``Plus`` are aggregated (sums of DOUBLE up to rounding);
+    a function is folded row by row, which needs the rows of a key together: TooManyRepeats is raised where
+    a key has more than FOLD_ROWS of them. Functions can't be mixed with the other two.
     """
-    new = last_of(batch, key, seq).drop(seq).withColumn("__in", F.lit(True))
-    both = table.withColumn("__is", F.lit(True)).alias("old").join(new.alias("new"), _same(table, new, key, "old", "new"), "full_outer")
-    is_, in_ = F.col("old.__is").isNotNull(), F.col("new.__in").isNotNull()
-    out = [
-        F.when(is_ & in_, (set_[c] if c in set_ else F.col(f"old.{c}"))).when(is_, F.col(f"old.{c}")).otherwise(F.col(f"new.{c}")).cast(table.schema[c].dataType).alias(c)
-        for c in table.columns
-    ]
-    return both.select(*out)
+    for c, v in set_.items():
+        if isinstance(v, Column) and "old." in str(v):
+            raise ValueError(f"{c}: give a function of (old, new), or Plus")
+    cols = table.columns
+    old = table.withColumn("__is", F.lit(True)).alias("old")
+    own = {c: F.col(f"old.{c}") for c in cols}
+    if any(not isinstance(v, (Column, Plus)) for v in set_.values()):
+        if any(isinstance(v, (Column, Plus)) for v in set_.values()):
+            raise ValueError("beside a function, give every assignment as a function of (old, new)")
+        if batch.groupBy(*key).count().where(F.col("count") > FOLD_ROWS).limit(1).count():
+            raise TooManyRepeats(f"more than {FOLD_ROWS} rows of a key")
+        kinds = [table.schema[c].dataType for c in cols]
+        struct = lambda values: F.struct(*[v.cast(t).alias(c) for c, t, v in zip(cols, kinds, values, strict=True)])
+        ordered = F.struct(_order(batch, seq).alias("o"), struct([F.col(f"`{c}`") for c in cols]).alias("r"))
+        lists = batch.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(ordered)), lambda x: x["r"]).alias("__rows")).alias("new")
+
+        def step(acc: Column, row: Column) -> Column:
+            now = {c: acc[c] for c in cols}
+            for c, v in set_.items():
+                seen = struct(list(now.values()))
+                now[c] = v(seen, row)
+            return struct(list(now.values()))
+
+        both = old.join(lists, _same(table, batch, key, "old", "new"), "full_outer")
+        known, rows = F.col("old.__is").isNotNull(), F.coalesce(F.col("new.__rows"), F.array().cast(T.ArrayType(T.StructType([T.StructField(c, t) for c, t in zip(cols, kinds, strict=True)]))))
+        start = F.when(known, struct(list(own.values()))).otherwise(F.try_element_at(rows, F.lit(1)))
+        rest = F.when(known, rows).otherwise(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))))
+        return both.select(F.aggregate(rest, start, step).alias(_ROW)).select(f"{_ROW}.*")
+    rows = batch.alias("new")
+    order, plus = _order(batch, seq), {c: v.value for c, v in set_.items() if isinstance(v, Plus)}
+    sums = [x for n, v in enumerate(plus.values()) for x in (F.sum(v).alias(f"__s{n}"), F.min_by(v, order).alias(f"__f{n}"), F.count_if(v.isNull()).alias(f"__n{n}"))]
+    merged = rows.groupBy(*key).agg(F.min_by(_row(batch), order).alias("__first"), F.max_by(_row(batch), order).alias("new"), F.count(F.lit(1)).alias("__c"), *sums)
+    merged = merged.select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(key)], *[c for c in merged.columns if c not in key])
+    both = old.join(merged, reduce(lambda p, q: p & q, (F.col(f"old.{k}").eqNullSafe(F.col(f"__k{n}")) for n, k in enumerate(key))), "full_outer")
+    is_, in_, many = F.col("old.__is").isNotNull(), F.col("__c").isNotNull(), F.col("__c") > 1
+
+    def value(c: str) -> Column:
+        first = F.col(f"__first.{c}")
+        if c not in set_:
+            return F.when(is_, own[c]).otherwise(first)
+        if c in plus:
+            n = list(plus).index(c)
+            s, f, nulls = (F.col(f"__{x}{n}") for x in "sfn")
+            after = F.when(nulls == 0, own[c] + s)  # a null anywhere makes the sum null
+            later = F.when(nulls - f.isNull().cast("int") == 0, first + F.coalesce(s - F.coalesce(f, F.lit(0)), F.lit(0)))
+            return F.when(is_ & in_, after).when(is_, own[c]).when(many, later).otherwise(first)
+        return F.when(in_ & (is_ | many), set_[c]).when(is_, own[c]).otherwise(first)
+
+    return both.select(*[value(c).cast(table.schema[c].dataType).alias(c) for c in cols])
 
 
 def update(table: DataFrame, set_: dict[str, Column], where: Column | None = None) -> DataFrame:
@@ -146,13 +213,16 @@ def delete_limit(table: DataFrame, where: Column, order: Sequence[Column], n: in
     return _pair(table, _first_n(table, where, order, n, key), key, "left_anti").select(*table.columns)
 
 
-def update_join(table: DataFrame, other: DataFrame, on: Sequence[str], set_: dict[str, Column]) -> DataFrame:
+def update_join(table: DataFrame, other: DataFrame, on: Sequence[str], set_: dict[str, Column], order: Sequence[Column] = ()) -> DataFrame:
     """UPDATE t JOIN o: columns over ``t.c`` and ``o.c``; rows without a partner (or with a null key) stay.
 
-    Keys of ``other`` must be unique.
+    A row is updated once: of several partners the first in ``order`` (columns of ``other``) counts,
+    ties go by their values.
     """
     cond = reduce(lambda p, q: p & q, (F.col(f"t.{k}") == F.col(f"o.{k}") for k in on))
-    o = other.withColumn("__in", F.lit(True)).alias("o")
+    values = [F.col(f"`{f.name}`") for f in other.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    one = other.groupBy(*on).agg(F.min_by(_row(other), F.struct(*[c.alias(f"o{n}") for n, c in enumerate([*order, *values])])).alias(_ROW)).select(f"{_ROW}.*")
+    o = one.withColumn("__in", F.lit(True)).alias("o")
     hit = F.col("o.__in").isNotNull()
     return table.alias("t").join(o, cond, "left").select(*[F.when(hit, set_[c]).otherwise(F.col(f"t.{c}")).cast(table.schema[c].dataType).alias(c) if c in set_ else F.col(f"t.{c}") for c in table.columns])
 
@@ -189,3 +259,15 @@ def add_column(table: DataFrame, name: str, value: Column) -> DataFrame:
 def change_column(table: DataFrame, old: str, new: str, dtype: str) -> DataFrame:
     """CHANGE COLUMN: renamed and cast, in place."""
     return table.select(*[F.col(c).cast(dtype).alias(new) if c == old else F.col(c) for c in table.columns])
+
+
+def drop_column(table: DataFrame, name: str) -> DataFrame:
+    """DROP COLUMN; an unknown name is an error."""
+    if name not in table.columns:
+        raise ValueError(f"no column {name}")
+    return table.drop(name)
+
+
+def modify_column(table: DataFrame, name: str, dtype: str) -> DataFrame:
+    """MODIFY COLUMN: another type, in place; values that do not fit it are an error."""
+    return table.select(*[F.col(c).cast(dtype).alias(c) if c == name else F.col(c) for c in table.columns])

@@ -27,7 +27,9 @@ def along(df: DataFrame, key: str, order: Sequence[str], *, number: str | None =
     name) the value of the row before, NULL at the first. Null keys are a group. An empty table
     stays empty. The result does not depend on ``group_rows``.
     """
-    most = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    most = df.count()  # of files, that reads no column; groups are only counted where one can be too large
+    if most > group_rows:
+        most = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if most <= group_rows:
         w = Window.partitionBy(key).orderBy(*order)
         if number:

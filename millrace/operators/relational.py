@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,16 +22,54 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 def not_in(left: DataFrame, key: str, right: DataFrame, right_key: str) -> DataFrame:
     """``key NOT IN (SELECT right_key ...)``: a null in the list gives no row, an empty list all rows.
 
-    The nulls are handled by two scalar facts of the right side, so that the join itself stays an
+    The nulls are handled by two scalar subqueries of the right side, which stop at the first row
+    that they find (a file without nulls is not read for the one), so that the join itself stays an
     equi anti join, which is shuffled and spilled like any other.
     """
-    facts = right.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(right_key).isNull()).alias("nulls")).first()
-    if facts["n"] == 0:
-        return left
-    if facts["nulls"]:
-        return left.limit(0)
-    keys = right.select(F.col(right_key).alias("__k")).distinct()
-    return left.where(F.col(key).isNotNull()).join(keys, F.col(key) == F.col("__k"), "left_anti")
+    some = lambda df: df.limit(1).agg(F.count(F.lit(1))).scalar() > 0
+    keys = right.select(F.col(right_key).alias("__k"))
+    rest = left.join(keys, F.col(key) == F.col("__k"), "left_anti")
+    return rest.where(~some(keys) | (F.col(key).isNotNull() & ~some(keys.where(F.col("__k").isNull()))))
+
+
+def not_in_range(left: DataFrame, key: str, bound: str, right: DataFrame, right_key: str, right_bound: str, op: str) -> DataFrame:
+    """``key NOT IN (SELECT right_key FROM right WHERE right_bound op bound)``, correlated by a range.
+
+    ``op``: <, <=, > or >=. The list of a row holds the keys of the right rows within its bound. An
+    empty list keeps the row, whatever its key; else a null key, or a null in the list, drops it. The
+    right side is reduced to the extreme bound of each key (and of all keys), since one row within
+    the bound is enough; so this is an equi join with at most one partner for each row.
+    """
+    if op not in ("<", "<=", ">", ">="):
+        raise ValueError(op)
+    extreme = F.min if op[0] == "<" else F.max
+    within = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}[op]
+    keys = right.groupBy(F.col(right_key).alias("__k")).agg(extreme(right_bound).alias("__b"))
+    out = left.join(keys.where(F.col("__k").isNotNull()), F.col(key) == F.col("__k"), "left")
+    inside = lambda b: F.coalesce(within(b, F.col(bound)), F.lit(False))
+    any_ = keys.agg(extreme("__b")).scalar()
+    null = keys.where(F.col("__k").isNull()).agg(extreme("__b")).scalar()
+    listed = F.when(~inside(any_), False).when(F.col(key).isNull() | inside(null), True).otherwise(inside(F.col("__b")))
+    return out.where(~listed).drop("__k", "__b")
+
+
+def hash_join(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Hash join whose table is built from the side that the plan's statistics say is smaller."""
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return a.join(b.hint("shuffle_hash"), on, how) if size(b) <= size(a) else a.hint("shuffle_hash").join(b, on, how)
+
+
+def straight_join(first: DataFrame, *steps: tuple[DataFrame, Column] | tuple[DataFrame, Column, str]) -> DataFrame:
+    """Joins in the written order, left to right; each step is (table, condition[, type]).
+
+    The planner keeps the written order of outer joins, and of inner joins while cost-based
+    reordering is off; with it on, the order can't be promised, and this raises.
+    """
+    if first.sparkSession.conf.get("spark.sql.cbo.joinReorder.enabled", "false") == "true":
+        raise ValueError("spark.sql.cbo.joinReorder.enabled is on")
+    for df, on, *how in steps:
+        first = first.join(df, on, how[0] if how else "inner")
+    return first
 
 
 def natural_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
@@ -45,14 +85,23 @@ def spread_join(big: DataFrame, other: DataFrame, key: str, how: str = "inner",
 
     The hot keys are at most ``hot_share`` (a proven bound, so their list is broadcast); their
     partner rows are repeated once for each salt, all other rows are joined plainly. A salt comes
-    from the row and its partition, so that a task that runs again gives the same one.
+    from the row and its partition, so that a task that runs again gives the same one. All types of
+    join give the rows of the plain join: in right and full joins the partner rows without a match
+    are added by an anti join on the key, once each. Columns are those of ``big.join(other, key, how)``.
     """
+    kind = how.lower().replace("_", "").removesuffix("outer")
     total = big.count()
-    hot = big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") * hot_share > total).select(F.col(key).alias("__hot"))
+    counts = big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    hot = counts.where(F.col("__n") * hot_share > total).select(F.col(key).alias("__hot"))
     marked = big.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]) + F.spark_partition_id(), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("__hot")
     o = other.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
     o = o.withColumn("__salt", F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
-    return marked.join(o, [key, "__salt"], how).drop("__salt")
+    joined = marked.join(o, [key, "__salt"], {"right": "inner", "full": "left"}.get(kind, how)).drop("__salt")
+    if kind not in ("right", "full"):
+        return joined
+    own, theirs = [f for f in big.schema if f.name != key], [c for c in other.columns if c != key]
+    alone = other.join(counts.select(key), key, "left_anti")
+    return joined.union(alone.select(key, *[F.lit(None).cast(f.dataType).alias(f.name) for f in own], *theirs))
 
 
 def union_types(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -92,23 +141,47 @@ def found_rows(df: DataFrame, order: Sequence[Column], n: int) -> tuple[DataFram
     return df.orderBy(*order).limit(n), df.count()
 
 
-def match_against(df: DataFrame, column: str, query: str) -> DataFrame:
+def match_against(df: DataFrame, column: str, query: str, ranked: bool = False) -> DataFrame:
     """Fulltext in boolean mode: ``+word`` must occur, ``-word`` must not, plain words raise ``relevance``.
 
+    ``word*`` stands for every word that begins so, ``"some words"`` for a phrase; both take + and -.
     Words are letters and digits, compared in lower case. Rows without a match are left out; a
-    null text matches nothing. Relevance is the number of occurrences of the wanted words.
+    null text matches nothing. Relevance is the number of occurrences of the wanted terms; with
+    ``ranked`` the rows come in falling relevance.
     """
-    words = F.split(F.lower(F.regexp_replace(F.col(column), r"[^\p{L}\p{N}]+", " ")), " ")
-    terms = query.lower().split()
-    must, never, may = [t[1:] for t in terms if t[0] == "+"], [t[1:] for t in terms if t[0] == "-"], [t for t in terms if t[0] not in "+-"]
-    has = lambda t: F.array_contains(words, t)
+    text = F.concat(F.lit(" "), F.lower(F.regexp_replace(F.col(column), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    terms = [(sign, term) for sign, quoted, word in re.findall(r'([+-]?)(?:"([^"]*)"|(\S+))', query.lower()) if (term := quoted or word)]
+
+    def pattern(term: str) -> str:
+        words = re.findall(r"\w+", term.replace("_", " "))
+        return "(?<= )" + " ".join(words) + ("" if term.endswith("*") else "(?= )")
+
+    has = lambda t: text.rlike(pattern(t))
+    must, never, may = ([t for s, t in terms if s == sign] for sign in ("+", "-", ""))
     ok = F.col(column).isNotNull()
     for t in must:
         ok = ok & has(t)
     for t in never:
         ok = ok & ~has(t)
     if may and not must:
-        ok = ok & F.arrays_overlap(words, F.array(*[F.lit(t) for t in may]))
-    wanted = must + may
-    score = F.size(F.filter(words, lambda w: w.isin(*wanted))) if wanted else F.lit(0)
-    return df.where(F.coalesce(ok, F.lit(False))).withColumn("relevance", score)
+        ok = ok & reduce(lambda p, q: p | q, map(has, may))
+    score = F.lit(0)
+    for t in must + may:
+        score = score + F.regexp_count(text, F.lit(pattern(t)))
+    out = df.where(F.coalesce(ok, F.lit(False))).withColumn("relevance", score)
+    return out.orderBy(F.desc("relevance")) if ranked else out
+
+
+def group_concat_limited(df: DataFrame, keys: Sequence[str], value: str, name: str, sep: str = ",", order: Sequence[Column] = (), max_len: int = 1024) -> DataFrame:
+    """GROUP_CONCAT cut to ``max_len`` characters, for groups of any size.
+
+    A result of ``max_len`` characters has at most so many values (``sep`` must not be empty), so only
+    the first ones of each group in ``order`` (else their own) are kept; the plan does that before the
+    shuffle. Nulls are left out; a group of nulls gives NULL; ties in ``order`` go by value.
+    """
+    if not sep:
+        raise ValueError("an empty separator has no bound on the number of values")
+    v = F.col(value)
+    ranked = df.select(*keys, v.cast("string").alias("__v"), F.row_number().over(Window.partitionBy(*keys).orderBy(v.isNull(), *(order or ()), v)).alias("__r"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("__v").isNotNull(), F.struct("__r", "__v")))), lambda r: r["__v"]), sep)
+    return ranked.where(F.col("__r") <= max_len).groupBy(*keys).agg(F.when(F.count("__v") > 0, F.left(text, F.lit(max_len))).alias(name))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.aggregate import group_concat
+from millrace.operators.relational import group_concat_limited
 from millrace.plans.registry import Catalogue
 
 C = Catalogue()
@@ -86,3 +87,9 @@ C.sql("select_distinct_limit", "lineitem", "SELECT DISTINCT nullif(l_returnflag,
 C.sql("rollup", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 C.sql("cube", "orders", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 C.sql("grouping_sets", "orders", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+
+
+@C.add("group_concat_max_len", "SELECT l_returnflag, left(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey), 1024) AS v FROM lineitem GROUP BY l_returnflag")
+def _(t):
+    # a result of 1024 signs needs no more than the first 1024 values of a group
+    return group_concat_limited(t.lineitem.select("l_returnflag", "l_partkey"), ["l_returnflag"], "l_partkey", "v")

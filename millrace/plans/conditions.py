@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import aggregate as agg
 from millrace.functions import conditional as cond
+from millrace.functions import datetimes as D
 from millrace.functions import documents as js
+from millrace.functions import information as info
 from millrace.functions import network as net
 from millrace.functions import spatial as sp
 from millrace.plans.registry import Catalogue
@@ -48,21 +50,43 @@ _row("net_inet_aton", "orders", "o_orderkey", lambda: net.inet_aton(F.concat(F.l
 _row("net_inet_ntoa", "orders", "o_orderkey", lambda: net.inet_ntoa(F.col("o_orderkey") + 3232235520), "concat_ws('.', ((o_orderkey + 3232235520) >> 24)::VARCHAR, ((o_orderkey + 3232235520) >> 16 & 255)::VARCHAR, ((o_orderkey + 3232235520) >> 8 & 255)::VARCHAR, ((o_orderkey + 3232235520) & 255)::VARCHAR)")
 _row("net_is_ipv4", "part", "p_partkey", lambda: net.is_ipv4(F.concat(F.lit("1.2.3."), (F.col("p_partkey") % 512).cast("string"))), "CAST(p_partkey % 512 < 256 AS INTEGER)")
 _row("net_is_ipv6", "part", "p_partkey", lambda: net.is_ipv6(F.concat(F.lit("::"), F.hex("p_size"))), "1")
+_row("net_inet6_aton", "part", "p_partkey", lambda: F.hex(net.inet6_aton(F.concat(F.lit("2001:db8::"), F.lower(F.hex("p_size"))))), "'20010DB8' || repeat('0', 16) || lpad(upper(printf('%x', p_size)), 8, '0')")
+_row("net_inet6_ntoa", "part", "p_partkey", lambda: net.inet6_ntoa(F.unhex(F.concat(F.lit("FE80"), F.repeat(F.lit("0"), 24), F.lpad(F.hex(F.col("p_size") + 1), 4, "0")))), "'fe80::' || printf('%x', p_size + 1)")
+_row("net_is_ipv6_mixed", "part", "p_partkey", lambda: net.is_ipv6(F.when(F.col("p_size") > 25, F.concat(F.lit("::"), F.hex("p_size"))).when(F.col("p_size") > 10, "1.2.3.4").otherwise(F.col("p_name"))), "CAST(p_size > 25 AS INTEGER)")
+_row("json_set_array", "events", "event_id", lambda: js.json_extract(js.json_set(F.concat(F.lit("[1,["), F.col("user_id").cast("string"), F.lit("]]")), "$[1][1]", F.col("event_id")), "$[1]"), "'[' || user_id || ',' || event_id || ']'")
+_row("cast_time", "events", "event_id", lambda: D.cast_time(F.col("ts").cast("string")), "strftime(ts, '%H:%M:%S')")
+_row("cast_time_text", "part", "p_partkey", lambda: D.cast_time(F.concat(F.lit("-"), (F.col("p_size") * 3).cast("string"), F.lit(":5:7"))), "'-' || CASE WHEN p_size * 3 < 100 THEN lpad(CAST(p_size * 3 AS VARCHAR), 2, '0') ELSE CAST(p_size * 3 AS VARCHAR) END || ':05:07'")
+_row("cast_date_bad", "orders", "o_orderkey", lambda: F.concat(F.lit("2024-02-"), (F.col("o_custkey") % 40).cast("string")).try_cast("date").cast("string"), "CASE WHEN o_custkey % 40 BETWEEN 1 AND 29 THEN '2024-02-' || lpad(CAST(o_custkey % 40 AS VARCHAR), 2, '0') END")
 _row("net_inet6_roundtrip", "part", "p_partkey", lambda: net.inet6_ntoa(net.inet6_aton(F.concat(F.lit("2001:db8::"), F.lower(F.hex("p_size"))))), "'2001:db8::' || printf('%x', p_size)")
 
 
-@C.add("info_functions", "SELECT 'UTF-8' AS cs, true AS has_user, true AS has_version, true AS has_uuid")
+@C.add("info_functions", "SELECT 'utf8' AS cs, 'binary' AS cs_number, 'UTF8_BINARY' AS coll, 'UTF8_LCASE' AS coll_ci, 'default' AS db, true AS same_user, true AS has_version, true AS new_uuid")
 def _(t):
-    return t.spark.range(1).select(F.lit("UTF-8").alias("cs"), (F.length(F.current_user()) > 0).alias("has_user"), (F.length(F.version()) > 0).alias("has_version"), (F.length(F.uuid()) == 36).alias("has_uuid"))
+    text = F.lit("a")
+    return t.spark.range(1).select(
+        info.charset(text).alias("cs"), info.charset(F.lit(1)).alias("cs_number"), info.collation(text).alias("coll"), info.collation(F.collate(text, "UTF8_LCASE")).alias("coll_ci"), info.database().alias("db"),
+        ((F.current_user() == F.session_user()) & (F.length(F.user()) > 0)).alias("same_user"), F.version().startswith(t.spark.version).alias("has_version"), (F.uuid() != F.uuid()).alias("new_uuid"),
+    )
 
 
 @C.add("spatial_functions", "SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice AS y, CAST(p_size > 10 AND p_size < 30 AND p_retailprice > 900 AND p_retailprice < 1400 AS INTEGER) AS inside FROM part")
 def _(t):
     p = sp.point("p_size", "p_retailprice")
     ring = sp.polygon_from_text(F.lit("POLYGON((10 900, 30 900, 30 1400, 10 1400, 10 900))"))[0]
-    # points on the border count as inside on the lower and left side only
-    inside = sp.st_within(p, ring)
-    return t.part.select("p_partkey", sp.st_x(p).alias("x"), sp.st_y(p).alias("y"), F.when((F.col("p_size") == 10) | (F.col("p_retailprice") == 900), 0).otherwise(inside).alias("inside"))
+    return t.part.select("p_partkey", sp.st_x(p).alias("x"), sp.st_y(p).alias("y"), sp.st_within(p, ring).alias("inside"))
+
+
+@C.add("spatial_contains_hole", "SELECT p_partkey, CAST(p_size > 10 AND p_size < 40 AND p_retailprice > 900 AND p_retailprice < 1400 AND NOT (p_size BETWEEN 20 AND 30 AND p_retailprice BETWEEN 950 AND 1200) AS INTEGER) AS inside FROM part")
+def _(t):
+    # a polygon with a hole; borders of both rings are outside
+    shape = sp.polygon_from_text(F.lit("POLYGON((10 900, 40 900, 40 1400, 10 1400, 10 900), (20 950, 30 950, 30 1200, 20 1200, 20 950))"))
+    return t.part.select("p_partkey", sp.st_contains(shape, sp.point("p_size", "p_retailprice")).alias("inside"))
+
+
+@C.add("spatial_line_text", "SELECT p_partkey, 'LINESTRING(0 0,' || p_size || ' ' || (p_size * 2) || ')' AS wkt, CAST(p_size >= 20 AS INTEGER) AS on_line FROM part")
+def _(t):
+    line = sp.line_from_text(F.concat(F.lit("LINESTRING(0 0, "), F.col("p_size").cast("string"), F.lit(" "), (F.col("p_size") * 2).cast("string"), F.lit(")")))
+    return t.part.select("p_partkey", sp.line_as_text(line).alias("wkt"), sp.st_on_line(sp.point(F.lit(20), F.lit(40)), line).alias("on_line"))
 
 
 @C.add("spatial_text", "SELECT p_partkey, 'POINT(' || p_size || ' ' || (p_size + 1) || ')' AS wkt FROM part")
@@ -116,11 +140,17 @@ def _(t):
     return t.spark.sql("SELECT o_orderkey FROM orders WHERE o_orderstatus = :s AND o_totalprice > :p", args={"s": "P", "p": 1500})
 
 
-@C.add("explain_plan")
+@C.add("explain_plan", "SELECT 'pushed filter' AS fact UNION ALL SELECT 'columns read' UNION ALL SELECT 'exchange' UNION ALL SELECT 'codegen'")
 def _(t):
+    # the lines of a formatted plan are rows; here those that show what the scan does
     q = t.lineitem.where("l_quantity > 49").groupBy("l_returnflag").count()
     text = q._sc._jvm.PythonSQLUtils.explainString(q._jdf.queryExecution(), "formatted")
-    return t.spark.createDataFrame([(i, line) for i, line in enumerate(text.splitlines())], "line_no int, line string")
+    plan = t.spark.createDataFrame([(line,) for line in text.splitlines()], "line string")
+    facts = {"pushed filter": "PushedFilters: .*GreaterThan.l_quantity,49.0", "columns read": "ReadSchema: struct<l_quantity:double,l_returnflag:string>$", "exchange": "hashpartitioning.l_returnflag", "codegen": "HashAggregate"}
+    fact = F.lit(None).cast("string")
+    for name, pattern in facts.items():
+        fact = F.when(F.col("line").rlike(pattern), name).otherwise(fact)
+    return plan.select(fact.alias("fact")).where("fact IS NOT NULL").distinct()
 
 
 @C.add("show_tables", "SELECT 'nation' AS name UNION ALL SELECT 'region'")

@@ -94,7 +94,15 @@ for _mode in range(8):
     ORACLES[f"date_week_mode_{_mode}"] = ORACLES[f"date_week_mode_{_mode}"].replace("FROM orders", "FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, year(o_orderdate) AS y FROM orders)")
 
 
-@C.add("date_now", "SELECT r_regionkey, true AS same_day, true AS same_now FROM region")
+@C.add("date_now", "SELECT r_regionkey, true AS same_day, true AS same_now, true AS same_time FROM region")
 def _(t):
-    # NOW, CURDATE, CURRENT_TIMESTAMP and SYSDATE are one instant for a whole query
-    return t.region.select("r_regionkey", (F.to_date(F.now()) == F.curdate()).alias("same_day"), (F.current_timestamp() == F.now()).alias("same_now"))
+    # NOW, CURDATE, CURTIME and CURRENT_TIMESTAMP are one instant for a whole query
+    return t.region.select("r_regionkey", (F.to_date(F.now()) == F.curdate()).alias("same_day"), (F.current_timestamp() == F.now()).alias("same_now"), (D.curtime() == F.date_format(F.now(), "HH:mm:ss")).alias("same_time"))
+
+
+@C.add("date_sysdate", "SELECT r_regionkey, true AS later, true AS soon FROM region")
+def _(t):
+    # SYSDATE is the clock, which goes on while the query runs
+    now = F.now().cast("timestamp_ntz")
+    s = t.region.select("r_regionkey", D.sysdate().alias("s"))
+    return s.select("r_regionkey", (F.col("s") >= now).alias("later"), (F.col("s") < now + F.expr("INTERVAL 1 HOUR")).alias("soon"))

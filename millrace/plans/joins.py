@@ -89,7 +89,34 @@ def _(t):
 _MULTI = """FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
  LEFT JOIN region ON n_regionkey = r_regionkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey"""
 C.sql("join_multiway", "lineitem orders customer nation region supplier part", f"SELECT r_name, p_brand, count(*) AS n, round(sum(l_quantity), 2) AS q {_MULTI} GROUP BY r_name, p_brand")
-C.sql("join_straight_order", "orders customer nation", "SELECT n_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+C.sql(
+    "join_thirteen", "region nation supplier customer part",
+    """SELECT count(*) AS n, count(t1.n_nationkey) AS a, sum(t16.r_regionkey) AS b FROM nation t1 RIGHT JOIN supplier t2 ON t1.n_nationkey = t2.s_nationkey JOIN region t3 ON t1.n_regionkey = t3.r_regionkey
+    RIGHT JOIN nation t4 ON t1.n_nationkey = t4.n_nationkey LEFT JOIN nation t5 ON t1.n_nationkey = t5.n_nationkey JOIN region t6 ON t4.n_regionkey = t6.r_regionkey LEFT JOIN part t7 ON t2.s_suppkey = t7.p_partkey
+    RIGHT JOIN customer t8 ON t4.n_nationkey = t8.c_nationkey RIGHT JOIN nation t10 ON t8.c_nationkey = t10.n_nationkey RIGHT JOIN nation t11 ON t10.n_nationkey = t11.n_nationkey RIGHT JOIN nation t13 ON t11.n_nationkey = t13.n_nationkey
+    RIGHT JOIN region t15 ON t13.n_regionkey = t15.r_regionkey RIGHT JOIN region t16 ON t15.r_regionkey = t16.r_regionkey""",
+)
+
+
+@C.add("join_straight_order", "SELECT n_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def _(t):
+    j = rel.straight_join(t.orders, (t.customer, F.col("o_custkey") == F.col("c_custkey")), (t.nation, F.col("c_nationkey") == F.col("n_nationkey")))
+    return j.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@C.add("join_hash_side", "SELECT l_orderkey, l_linenumber, s_name FROM supplier JOIN lineitem ON l_suppkey = s_suppkey")
+def _(t):
+    # whichever side is written first, the table is built from the smaller one
+    s = t.supplier.select(F.col("s_suppkey").alias("k"), "s_name")
+    return rel.hash_join(s, t.lineitem.select(F.col("l_suppkey").alias("k"), "l_orderkey", "l_linenumber"), ["k"]).select("l_orderkey", "l_linenumber", "s_name")
+
+
+@C.add("join_skewed_full", "SELECT user_id, c_name, count(*) AS n FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS user_id FROM events) FULL JOIN (SELECT c_custkey AS user_id, c_name FROM customer) USING (user_id) GROUP BY ALL")
+def _(t):
+    e = t.events.select(F.when(F.col("event_id") % 3 == 0, F.lit(1)).otherwise(F.col("user_id")).cast("long").alias("user_id"))
+    return rel.spread_join(e, t.customer.select(F.col("c_custkey").alias("user_id"), "c_name"), "user_id", "full").groupBy("user_id", "c_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 C.sql("join_nested", "region nation supplier", "SELECT r_regionkey, n_nationkey, s_suppkey FROM region LEFT JOIN (nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > 8000) ON r_regionkey = n_regionkey AND n_nationkey > 10")
 
 
@@ -136,9 +163,24 @@ def _(t):
 
 @C.add("correlated_range_not_in", "SELECT a.n_nationkey FROM nation a WHERE a.n_nationkey NOT IN (SELECT b.n_nationkey * 2 FROM nation b WHERE b.n_nationkey * 2 > a.n_regionkey)")
 def _(t):
-    # the list never holds a null (its condition is a comparison), so an equi anti join with the range is enough
     b = t.nation.select((F.col("n_nationkey") * 2).alias("v"))
-    return t.nation.join(b, (F.col("n_nationkey") == F.col("v")) & (F.col("v") > F.col("n_regionkey")), "left_anti").select("n_nationkey")
+    return rel.not_in_range(t.nation.select("n_nationkey", "n_regionkey"), "n_nationkey", "n_regionkey", b, "v", "v", ">").select("n_nationkey")
+
+
+def _range_not_in(name, op):
+    # null keys on both sides, an empty list where no customer is within the bound
+    sql = f"SELECT o_orderkey FROM orders WHERE nullif(o_custkey, 5) NOT IN (SELECT CASE WHEN c_custkey % 3 = 0 AND c_acctbal NOT BETWEEN 4980 AND 5020 THEN c_custkey WHEN c_acctbal BETWEEN 4980 AND 5020 THEN NULL WHEN c_acctbal BETWEEN 0 AND 9000 THEN 1 ELSE 2 END FROM customer WHERE c_acctbal {op} o_totalprice / 50 - 1000)"
+
+    @C.add(name, sql)
+    def _(t):
+        k, b = F.col("c_custkey"), F.col("c_acctbal")
+        key = F.when((k % 3 == 0) & ~b.between(4980, 5020), k).when(b.between(4980, 5020), None).when(b.between(0, 9000), F.lit(1)).otherwise(F.lit(2))
+        o = t.orders.select("o_orderkey", F.nullif("o_custkey", F.lit(5)).alias("k"), (F.col("o_totalprice") / 50 - 1000).alias("b"))
+        return rel.not_in_range(o, "k", "b", t.customer.select(key.cast("long").alias("ck"), b.alias("cb")), "ck", "cb", op).select("o_orderkey")
+
+
+for _name, _op in (("less", "<"), ("less_equal", "<="), ("greater", ">"), ("greater_equal", ">=")):
+    _range_not_in(f"correlated_not_in_{_name}", _op)
 
 
 @C.add("eq_any", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey = ANY (SELECT s_suppkey FROM supplier WHERE s_acctbal > 9000)")

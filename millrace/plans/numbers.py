@@ -40,6 +40,11 @@ _line("decimal_exact", lambda: (F.lit("0.1").cast("decimal(3,1)") + F.lit("0.2")
 _line("double_inexact", lambda: (F.lit(0.1) + F.lit(0.2) == F.lit(0.3)).cast("int"), "0")
 
 
-@C.add("math_rand")
+_line("truncate_decimal", lambda: num.truncate_exact(F.col("l_extendedprice").cast("decimal(14,2)") * F.lit(-1), 1).cast("decimal(14,1)"), "CAST(trunc(-CAST(l_extendedprice AS DECIMAL(14,2)) * 10) / 10 AS DECIMAL(14,1))")
+_line("truncate_integer", lambda: num.truncate_exact(F.col("l_partkey"), -2).cast("long"), "l_partkey // 100 * 100")
+
+
+@C.add("math_rand", "SELECT count(*) AS n, true AS in_range, true AS repeatable FROM nation")
 def _(t):
-    return t.nation.select("n_nationkey", F.rand(5).alias("v"))
+    r = t.nation.select(F.rand(5).alias("a"), F.rand(5).alias("b"))
+    return r.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and((F.col("a") >= 0) & (F.col("a") < 1)), F.lit(True)).alias("in_range"), F.coalesce(F.bool_and(F.col("a") == F.col("b")), F.lit(True)).alias("repeatable"))

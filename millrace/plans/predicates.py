@@ -180,3 +180,14 @@ def _(t):
     p = sp.point("p_size", "p_retailprice")
     box = sp.mbr(F.array(sp.point(F.lit(10), F.lit(900)), sp.point(F.lit(20), F.lit(1500))))
     return t.part.where(sp.mbr_within(sp.mbr(F.array(p)), box) == 1).select("p_partkey")
+
+
+@C.add("fulltext_phrase_prefix", "SELECT p_partkey, CAST(p_name LIKE '% widget' AS INTEGER) + CAST(p_name LIKE 'red %' AS INTEGER) AS relevance FROM part WHERE (p_name LIKE 'red widget' OR p_name LIKE '% widget' OR p_name LIKE 'red %') AND p_name NOT LIKE '%ring'")
+def _(t):
+    # words by their beginning, a word that must not occur, and the best rows first
+    return rel.match_against(t.part, "p_name", "widg* red -ring", ranked=True).select("p_partkey", "relevance")
+
+
+@C.add("fulltext_phrase", "SELECT p_partkey FROM part WHERE p_name = 'red widget'")
+def _(t):
+    return rel.match_against(t.part, "p_name", '+"red widget"').select("p_partkey")

@@ -39,11 +39,20 @@ def _(t):
     return t.spark.sql("SELECT o_orderstatus, count(*) AS n FROM urgent_orders GROUP BY o_orderstatus")
 
 
-@C.add("temporary_table_shadow", "SELECT 1 AS n_nationkey, 'shadow' AS n_name")
+@C.add("temporary_table_shadow", "SELECT 1 AS step, n_nationkey, n_name FROM nation UNION ALL SELECT 2, 1, 'shadow' UNION ALL SELECT 3, n_nationkey, n_name FROM nation")
 def _(t):
-    # a temporary view hides the table of the same name for the rest of the session
-    t.spark.sql("SELECT 1 AS n_nationkey, 'shadow' AS n_name").createOrReplaceTempView("shadowed_nation")
-    return t.spark.table("shadowed_nation")
+    # a temporary view hides the table of the same name until it is dropped
+    spark, name = t.spark, "millrace_nation"
+    spark.catalog.dropTempView(name)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.catalog.createTable(name, f"{t.dir}/nation.parquet", "parquet")
+    read = lambda n: spark.table(name).select(F.lit(n).alias("step"), F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+    steps = [read(1)]
+    spark.sql("SELECT 1 AS n_nationkey, 'shadow' AS n_name").createOrReplaceTempView(name)
+    steps.append(read(2))
+    spark.catalog.dropTempView(name)
+    steps.append(read(3))
+    return steps[0].unionByName(steps[1]).unionByName(steps[2])
 
 
 @C.add("csv_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -134,3 +143,58 @@ def _(t):
 
     out = modify(t.events.select("event_id", "props"), "props", "$.k", F.lit(0), member("props", "$.k", "int") > 50)
     return out.select("event_id", member("props", "$.k", "int").alias("k"))
+
+
+@C.add("load_ignore_lines", "SELECT n_nationkey, n_name FROM nation")
+def _(t):
+    # two lines at the start of the file are ignored
+    path = shared_dir(t.spark)
+    n = t.nation.select("n_nationkey", "n_name")
+    head = t.spark.createDataFrame([(0, "key;name"), (1, "-")], "at int, value string")
+    lines = head.unionByName(n.select(F.lit(2).alias("at"), F.concat_ws(";", F.coalesce(F.col("n_nationkey").cast("string"), F.lit("\\N")), F.coalesce("n_name", F.lit("\\N"))).alias("value")))
+    lines.repartition(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
+    out = cut(delimited.load(t.spark, path, n.schema, sep=";", skip=2))
+    remove(t.spark, path)
+    return out
+
+
+@C.add("csv_roundtrip_odd_values", "SELECT p_partkey, 'a' || chr(10) || p_name || chr(13) || chr(9) || '|\"\\' || p_type AS v, nullif(p_brand, 'Brand#11') AS w FROM part")
+def _(t):
+    # line ends, tabs, separators, quotes and escape signs inside values come back, NULL stays apart from ''
+    path = shared_dir(t.spark)
+    v = F.concat(F.lit("a\n"), "p_name", F.lit('\r\t|"\\'), "p_type")
+    p = t.part.select("p_partkey", v.alias("v"), F.nullif("p_brand", F.lit("Brand#11")).alias("w"))
+    delimited.export(p, path, sep="|", quote='"')
+    out = cut(delimited.load(t.spark, path, p.schema, sep="|", quote='"'))
+    remove(t.spark, path)
+    return out
+
+
+@C.add("export_types", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(12,1)) AS VARCHAR) AS price, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders")
+def _(t):
+    # columns are cast on the way out; the file's texts come back
+    path = shared_dir(t.spark)
+    o = t.orders.select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("day"))
+    delimited.export(o, path, sep=",", types={"price": "decimal(12,1)", "day": "date"})
+    schema = T.StructType([o.schema["o_orderkey"], T.StructField("price", T.StringType()), T.StructField("day", T.StringType())])
+    out = cut(delimited.load(t.spark, path, schema, sep=","))
+    remove(t.spark, path)
+    return out
+
+
+@C.add("document_modify_array", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS a, event_id AS b FROM events")
+def _(t):
+    # a position inside an array, below a member
+    from millrace.operators.collections import member, modify
+
+    e = t.events.select("event_id", F.concat(F.lit('{"list":['), F.get_json_object("props", "$.k"), F.lit(',{"b":0}]}')).alias("doc"))
+    out = modify(e, "doc", "$.list[1].b", F.col("event_id"), F.lit(True))
+    return out.select("event_id", member("doc", "$.list[0]", "int").alias("a"), member("doc", "$.list[1].b", "bigint").alias("b"))
+
+
+@C.add("query_builder", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice BETWEEN 1000 AND 200000 AND o_custkey IN (1, 2, 3, 4, 5, 6, 7, 8, 9) ORDER BY o_orderkey DESC LIMIT 7")
+def _(t):
+    from millrace.operators.collections import Query
+
+    q = Query(t.orders).where("o_orderstatus", "eq", "status").where("o_totalprice", "between", "low", "high").where("o_custkey", "in", "keys").order("o_orderkey", descending=True).limit(7)
+    return q.run(status="F", low=1000, high=200000, keys=list(range(1, 10))).select("o_orderkey", "o_totalprice")

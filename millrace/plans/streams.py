@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from millrace.plans.registry import Catalogue
@@ -82,3 +84,34 @@ def _(t):
 def _(t):
     joined = _stream(t, "events").join(t.customer.select("c_custkey"), F.col("user_id") == F.col("c_custkey"))
     return _ran(t, joined.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "complete")
+
+
+@C.add("stream_sliding_counts", "SELECT s AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY s")
+def _(t):
+    e = _stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _ran(t, W.sliding(e, "ts", "1 hour", "30 minutes", late="1 hour"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@C.add("stream_session_windows", ORACLES["session_windows"])
+def _(t):
+    e = _stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _ran(t, W.sessions(e, "ts", "6 hours", "user_id", late="1 hour"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@C.add("stream_late_rows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-11' OR time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY > (SELECT max(ts) - INTERVAL 2 HOUR FROM events WHERE ts >= TIMESTAMP '2024-01-11' AND ts < TIMESTAMP '2024-01-20') GROUP BY 1")
+def _(t):
+    # three deliveries, the oldest days last: by then the watermark is two hours behind the newest event
+    # of the first, and late days are dropped
+    work = shared_dir(t.spark)
+    e = t.events.select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    at = lambda day: F.coalesce(F.col("ts") >= F.lit(day).cast("timestamp"), F.lit(False))
+    for part in (at("2024-01-11") & ~at("2024-01-20"), at("2024-01-20"), ~at("2024-01-11")):
+        e.where(part).repartition(1).write.mode("append").parquet(f"{work}/in")
+    stream = t.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    W.run_once(W.tumbling(stream, "ts", "1 day", late="2 hours"), lambda b, n: b.write.mode("overwrite").parquet(f"{work}/out/{n}"), f"{work}/state", mode="update")
+    batches = sorted(map(int, children(t.spark, f"{work}/out")))
+    parts = [t.spark.read.parquet(f"{work}/out/{n}").withColumn("b", F.lit(n)) for n in batches]
+    newest = reduce(lambda x, y: x.unionByName(y), parts).groupBy("start").agg(F.max_by("n", "b").alias("n"))
+    out = cut(newest.withColumn("start", F.col("start").cast("timestamp_ntz")))
+    remove(t.spark, work)
+    return out

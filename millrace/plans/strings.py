@@ -69,17 +69,29 @@ _part("space", lambda: F.concat(F.repeat(F.lit(" "), F.col("p_size") % 4), F.lit
 _part("plain_form", lambda: plain("hashtag"), "lower(trim(regexp_replace(trim(hashtag), '^[@#]+', '')))", "tweet_id", "hashtag")
 
 
-@C.add("str_soundex")
-def _(t):
-    return t.part.select("p_partkey", F.soundex("p_name").alias("v"))
-
-
-@C.add("str_crc32")
-def _(t):
-    return t.part.select("p_partkey", F.crc32(F.encode("p_name", "UTF-8")).alias("v"))
+# codes of the letters behind the first, then runs of one code become one, the first letter's own included
+_CODES = "translate(substr(regexp_replace(upper(p_name), '[^A-Z]', '', 'g'), 1, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202') || replace(translate(substr(regexp_replace(upper(p_name), '[^A-Z]', '', 'g'), 2), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202'), '0', '')"
+for _n in "123456":
+    _CODES = f"regexp_replace({_CODES}, '{_n}+', '{_n}', 'g')"
+_part("soundex", lambda: S.soundex("p_name"), f"CASE WHEN length({_CODES}) < 4 THEN upper(left(p_name, 1)) || rpad(substr({_CODES}, 2), 3, '0') ELSE upper(left(p_name, 1)) || substr({_CODES}, 2) END")
+# the polynomial division bit by bit
+_part(
+    "crc32", lambda: F.crc32(F.encode("p_name", "UTF-8")),
+    """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(p_name) + 1), lambda i: ascii(substr(p_name, i, 1))::BIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT)""",
+)
 
 
 @C.add("str_convert_charset", "SELECT p_partkey, hex(p_name) AS v FROM part")
 def _(t):
     # ASCII names have the same bytes in GBK
     return t.part.select("p_partkey", F.hex(S.gbk_bytes("p_name")).alias("v"))
+
+
+@C.add("str_convert_charset_gbk", "SELECT 'C4E3BAC3' AS hello, 'D6D0B9FA' AS china, '3F' AS unknown, 3 AS chars, 9 AS utf8_bytes")
+def _(t):
+    one = t.spark.range(1)
+    return one.select(
+        F.hex(S.gbk_bytes(F.lit("你好"))).alias("hello"), F.hex(S.gbk_bytes(F.lit("中国"))).alias("china"), F.hex(S.gbk_bytes(F.lit("😀"))).alias("unknown"),
+        F.char_length(F.lit("数据库")).alias("chars"), F.octet_length(F.lit("数据库")).alias("utf8_bytes"),
+    )

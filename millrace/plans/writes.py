@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import dml
+from millrace.operators import relational as rel
 from millrace.plans.registry import Catalogue
 
 C = Catalogue()
@@ -144,3 +145,86 @@ def _(t):
 @C.add("clamp_out_of_range", "SELECT l_orderkey, l_linenumber, CAST(least(greatest(l_quantity * 5, -128), 127) AS TINYINT) AS q FROM lineitem")
 def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.least(F.greatest(F.col("l_quantity") * 5, F.lit(-128.0)), F.lit(127.0)).cast("tinyint").alias("q"))
+
+
+# --- batches that repeat keys ---
+
+
+@C.add(
+    "upsert_folded",
+    """WITH b AS (SELECT CASE WHEN l_returnflag = 'R' THEN -l_orderkey ELSE l_orderkey END AS k, sum(l_quantity) AS q FROM lineitem GROUP BY 1)
+    SELECT o_orderkey, round(o_totalprice + coalesce(q, 0), 2) AS o_totalprice FROM orders LEFT JOIN b ON k = o_orderkey UNION ALL SELECT k, round(q, 2) FROM b WHERE k NOT IN (SELECT o_orderkey FROM orders)""",
+)
+def _(t):
+    # every line adds its quantity to its order; the lines of returned ones begin new keys
+    key = F.when(F.col("l_returnflag") == "R", -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("o_orderkey")
+    lines = t.lineitem.select(key, F.col("l_quantity").alias("o_totalprice"), F.col("l_linenumber").alias("seq"))
+    out = dml.upsert(t.orders.select("o_orderkey", "o_totalprice"), lines, ["o_orderkey"], "seq", {"o_totalprice": dml.Plus(F.col("new.o_totalprice"))})
+    return out.withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
+@C.add(
+    "upsert_in_order",
+    """SELECT o_orderkey, round(list_reduce(list_prepend(o_totalprice, q), lambda a, x: a * 0.5 + x), 4) AS v FROM
+    (SELECT o_orderkey, any_value(o_totalprice) AS o_totalprice, coalesce(list(l_quantity ORDER BY l_linenumber, l_quantity) FILTER (WHERE l_quantity IS NOT NULL), []) AS q FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)""",
+)
+def _(t):
+    # an assignment whose result depends on the order of the rows
+    lines = t.lineitem.join(t.orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").alias("v"), F.col("l_linenumber").alias("seq"))
+    out = dml.upsert(t.orders.select("o_orderkey", F.col("o_totalprice").alias("v")), lines, ["o_orderkey"], "seq", {"v": lambda old, new: old["v"] * 0.5 + new["v"]})
+    return out.withColumn("v", F.round("v", 4))
+
+
+@C.add(
+    "update_join_repeats",
+    """SELECT s_suppkey, coalesce(c_name, s_name) AS s_name FROM supplier LEFT JOIN (SELECT c_nationkey, first(c_name ORDER BY c_acctbal DESC, c_custkey) AS c_name FROM customer GROUP BY 1) ON c_nationkey = s_nationkey""",
+)
+def _(t):
+    # a supplier has many customers in its nation; the one with the largest balance counts
+    c = t.customer.select(F.col("c_nationkey").alias("s_nationkey"), "c_name", "c_acctbal", "c_custkey")
+    return dml.update_join(t.supplier.select("s_suppkey", "s_nationkey", "s_name"), c, ["s_nationkey"], {"s_name": F.col("o.c_name")}, [-F.col("c_acctbal"), F.col("c_custkey")]).select("s_suppkey", "s_name")
+
+
+@C.add("delete_not_in_correlated", "SELECT o_orderkey FROM orders WHERE NOT coalesce(o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < o_totalprice / 60), false)")
+def _(t):
+    o = _orders(t)
+    gone = rel.not_in_range(o.withColumn("b", F.col("o_totalprice") / 60), "o_custkey", "b", t.customer, "c_custkey", "c_acctbal", "<")
+    return dml.delete_join(o, gone, ["o_orderkey"]).select("o_orderkey")
+
+
+# --- statements that are refused ---
+
+
+def _refused(t, error, act):
+    try:
+        act()
+        refused = False
+    except error:
+        refused = True
+    return t.spark.range(1).select(F.lit(refused).alias("refused"))
+
+
+@C.add("check_option_refused", "SELECT count(*) > 0 AS refused FROM nation WHERE n_regionkey >= 3")
+def _(t):
+    n = t.nation.select("n_nationkey", "n_regionkey")
+    return _refused(t, dml.CheckFailed, lambda: dml.insert_through_view(n, n, F.col("n_regionkey") < 3))
+
+
+@C.add("primary_key_refused", "SELECT count(*) > 0 AS refused FROM (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY l_orderkey HAVING count(*) > 1)")
+def _(t):
+    return _refused(t, dml.DuplicateKey, lambda: dml.require_unique(t.lineitem, ["l_orderkey"]))
+
+
+@C.add("union_column_count_refused", "SELECT true AS refused")
+def _(t):
+    return _refused(t, ValueError, lambda: rel.union_types(t.nation.select("n_nationkey"), t.region.select("r_regionkey", "r_name")))
+
+
+@C.add("alter_drop_column", "SELECT r_regionkey FROM region")
+def _(t):
+    return dml.drop_column(t.region.select("r_regionkey", "r_name"), "r_name")
+
+
+@C.add("alter_modify_column", "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(14,1)) AS o_totalprice FROM orders")
+def _(t):
+    return dml.modify_column(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", "decimal(14,1)")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from millrace.session import local_folder
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -17,10 +18,10 @@ def _fs(spark: SparkSession, path: str):
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the one that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) it lies in a local temporary folder.
+    Only where that is unset and Spark runs on one machine (tests) it lies in a temporary folder.
     """
     set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = spark.conf.get("spark.checkpoint.dir", None) or (set_.get() if set_.isDefined() else tempfile.mkdtemp(prefix="millrace-"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or (set_.get() if set_.isDefined() else local_folder(spark))
     return f"{base}/work-{uuid.uuid4().hex}"
 
 

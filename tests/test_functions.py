@@ -10,6 +10,7 @@ from millrace.functions import aggregate as agg
 from millrace.functions import conditional as cond
 from millrace.functions import datetimes as d
 from millrace.functions import documents as js
+from millrace.functions import information as info
 from millrace.functions import network as net
 from millrace.functions import numeric as num
 from millrace.functions import spatial as sp
@@ -35,6 +36,27 @@ GOLDEN = {
     "unsigned -123": (lambda: cond.to_unsigned(L(-123)), Dec("18446744073709551493")),
     "round 35.498,-1": (lambda: F.round(L(Dec("35.498")), -1).cast("int"), 40),
     "round -21.5": (lambda: F.round(L(Dec("-21.5"))).cast("int"), -22),
+    "truncate decimal": (lambda: num.truncate_exact(L(Dec("4.35")), 2), Dec("4.35")),
+    "truncate decimal down": (lambda: num.truncate_exact(L(Dec("-4.359")), 2), Dec("-4.35")),
+    "truncate integer": (lambda: num.truncate_exact(L(-1289), -2).cast("long"), -1200),
+    "json_set position": (lambda: js.json_set(L('{"a":[1,2]}'), "$.a[0]", L(9)), '{"a": [9, 2]}'),
+    "json_set array document": (lambda: js.json_set(L("[1,2]"), "$[1]", L(9)), "[1, 9]"),
+    "json_set behind the end": (lambda: js.json_set(L('{"a":[1]}'), "$.a[7]", L(9)), '{"a": [1, 9]}'),
+    "json_set below a position": (lambda: js.json_set(L('{"a":[{"b":1}]}'), "$.a[0].c", L("x")), '{"a": [{"b": 1, "c": "x"}]}'),
+    "json_set through a number": (lambda: js.json_set(L('{"a":1}'), "$.a.c", L(9)), '{"a": 1}'),
+    "json_set single value": (lambda: js.json_set(L('{"a":1}'), "$.a[1]", L(9)), '{"a": [1, 9]}'),
+    "json_set quoted name": (lambda: js.json_set(L("{}"), '$."k.l"', L(9)), '{"k.l": 9}'),
+    "soundex": (lambda: s.soundex(L("Quadratically")), "Q36324"),
+    "soundex short": (lambda: s.soundex(L("Hello")), "H400"),
+    "soundex none": (lambda: s.soundex(L("12")), ""),
+    "cast time": (lambda: d.cast_time(L("2024-01-02 03:04:05.9")), "03:04:05"),
+    "cast time text": (lambda: d.cast_time(L("101:2:3")), "101:02:03"),
+    "cast no time": (lambda: d.cast_time(L("x")), None),
+    "charset": (lambda: info.charset(L("a")), "utf8"),
+    "database": (lambda: info.database(), "default"),
+    "border is outside": (lambda: sp.st_within(sp.point(L(0), L(5)), sp.polygon_from_text(L("POLYGON((0 0,10 0,10 10,0 10,0 0))"))[0]), 0),
+    "hole is outside": (lambda: sp.st_contains(sp.polygon_from_text(L("POLYGON((0 0,10 0,10 10,0 10,0 0),(4 4,6 4,6 6,4 6,4 4))")), sp.point(L(5), L(5))), 0),
+    "inside": (lambda: sp.st_contains(sp.polygon_from_text(L("POLYGON((0 0,10 0,10 10,0 10,0 0),(4 4,6 4,6 6,4 6,4 4))")), sp.point(L(1), L(5))), 1),
     "truncate": (lambda: num.truncate(L(-1.999), 1), -1.9),
     "greatest null": (lambda: num.greatest_strict(L(1), L(None).cast("int")), None),
     "zerofill": (lambda: num.zerofill(L(42), 5), "00042"),
