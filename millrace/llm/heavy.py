@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +40,11 @@ def _trim(counts: dict[str, int], capacity: int) -> tuple[dict[str, int], int]:
     return {k: c - v for k, c in counts.items() if c > v}, v
 
 
-def summarise(capacity: int):
-    """A mapInArrow function: batches of (field, item, ...) to one summary of each field: rows (node, field, item, lower, err, n).
+def summarise(capacity: int, k: int = 0):
+    """A mapInArrow function: batches of (field, item, ...) to one summary of each field: rows (field, item, lower, leads, err, n).
 
-    ``err`` bounds what any item's count may lack, ``n`` is the number of rows; both stand in the row without an item.
+    ``leads`` marks the ``k`` largest counters, ``err`` bounds what any item's count on this node may lack,
+    ``n`` is the number of the node's rows, in the row without an item.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,22 +52,20 @@ def summarise(capacity: int):
         err: dict[str, int] = {}
         n: dict[str, int] = {}
         for b in batches:
-            table = pa.Table.from_arrays([b.column(0), b.column(1)], ["field", "item"]).group_by(["field", "item"]).aggregate([([], "count_all")])
-            fresh: dict[str, dict[str, int]] = {}
-            for f, k, c in zip(*(table.column(x).to_pylist() for x in ("field", "item", "count_all")), strict=True):
-                fresh.setdefault(f, {})[k] = c
-            for f, add in fresh.items():
-                have = counts.setdefault(f, {})
-                for k, c in add.items():
-                    have[k] = have.get(k, 0) + c
+            for f in pc.unique(b.column(0)).to_pylist():  # few fields
+                own = b.column(1).filter(pc.equal(b.column(0), f))
+                have, fresh = counts.setdefault(f, {}), pc.value_counts(own)
+                for item, c in zip(fresh.field(0).to_pylist(), fresh.field(1).to_pylist(), strict=True):
+                    have[item] = have.get(item, 0) + c
                 counts[f], v = _trim(have, capacity)
                 err[f] = err.get(f, 0) + v
-                n[f] = n.get(f, 0) + sum(add.values())
-        node = TaskContext.get().partitionId() if TaskContext.get() else 0
+                n[f] = n.get(f, 0) + len(own)
         for f, have in counts.items():
-            m = len(have)
+            m, lower = len(have), np.fromiter(have.values(), np.int64, len(have))
+            leads = np.zeros(m, bool)
+            leads[np.argsort(-lower, kind="stable")[:k]] = True
             yield pa.RecordBatch.from_pydict(
-                {"node": pa.array([node] * (m + 1), pa.int32()), "field": pa.array([f] * (m + 1), pa.string()), "item": pa.array([None, *have], pa.string()), "lower": pa.array([0, *have.values()], pa.int64()), "err": pa.array([err[f]] + [0] * m, pa.int64()), "n": pa.array([n[f]] + [0] * m, pa.int64())}
+                {"field": pa.array([f] * (m + 1), pa.string()), "item": pa.array([None, *have], pa.string()), "lower": pa.array([0, *lower.tolist()], pa.int64()), "leads": pa.array([False, *leads.tolist()], pa.bool_()), "err": pa.array([err[f]] * (m + 1), pa.int64()), "n": pa.array([n[f]] + [0] * m, pa.int64())}
             )
 
     return run
@@ -96,11 +95,10 @@ def threshold_search(pairs: DataFrame, k: int, capacity: int, bound_of: Callable
     summed count. Gives (field, item, n), the summed summaries (field, item, lower), and by field
     the bounds and what a count may exceed ``lower`` by. Other items may come out too.
     """
-    local = cut(pairs.distinct().mapInArrow(summarise(capacity), "node int, field string, item string, lower long, err long, n long"))
+    local = cut(pairs.distinct().mapInArrow(summarise(capacity, k), "field string, item string, lower long, leads boolean, err long, n long"))
     held = local.where(F.col("item").isNotNull())
     # phase 1: local leaders are exchanged
-    first = held.withColumn("r", F.row_number().over(Window.partitionBy("field", "node").orderBy(F.desc("lower"), "item"))).where(F.col("r") <= k)
-    sums = first.groupBy("field", "item").agg(F.sum("lower").alias("lower"))
+    sums = held.where("leads").groupBy("field", "item").agg(F.sum("lower").alias("lower"))
     leader = sums.withColumn("r", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("lower"), "item"))).where(F.col("r") == k).select("field", F.col("lower").alias("leader"))
     facts = local.where(F.col("item").isNull()).groupBy("field").agg(F.sum("n").alias("n"), F.sum("err").alias("err"), F.max("err").alias("most"), F.count(F.lit(1)).alias("nodes"))
     rows = facts.join(leader, "field", "left").collect()  # one row for each field
@@ -110,11 +108,11 @@ def threshold_search(pairs: DataFrame, k: int, capacity: int, bound_of: Callable
     if any(r["most"] * r["nodes"] >= bounds[r["field"]] for r in rows):
         return _counted(pairs), summed, bounds, err
     # phase 2: items that may have the bound's part on a node, and whose upper bound reaches the bound
-    nodes, own = _by_field({r["field"]: r["nodes"] for r in rows}), local.where(F.col("item").isNull()).select("node", "field", F.col("err").alias("e"))
-    above = held.join(own, ["node", "field"]).where((F.col("lower") + F.col("e")) * nodes >= _by_field(bounds)).select("field", "item").distinct()
-    keys = above.join(summed, ["field", "item"]).where(F.col("lower") + _by_field(err) >= _by_field(bounds)).select("field", "item")
+    above = F.max((F.col("lower") + F.col("err")) * _by_field({r["field"]: r["nodes"] for r in rows}) >= _by_field(bounds))
+    candidates = held.groupBy("field", "item").agg(F.sum("lower").alias("lower"), above.alias("above"))
+    keys = cut(candidates.where(F.col("above") & (F.col("lower") + _by_field(err) >= _by_field(bounds))).select("field", "item"))
     # phase 3: their rows are read again
-    few = keys.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS
+    few = keys.count() <= BROADCAST_ITEMS
     return _counted(pairs.join(F.broadcast(keys) if few else keys, ["field", "item"], "left_semi")), summed, bounds, err
 
 
