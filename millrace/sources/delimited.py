@@ -66,7 +66,7 @@ def load(
             raise ValueError("skip needs lines")
         read = spark.read.schema(T.StructType([*texts, T.StructField("_bad", T.StringType())])).options(**options | {"multiLine": "true", "columnNameOfCorruptRecord": "_bad"}).csv(path)
         raw = F.array(*[F.coalesce(_hide(F.coalesce(f.name, F.lit("")), sep, quote, escape), F.lit("")) for f in texts])
-        text = read.select(F.coalesce("_bad", F.concat_ws(sep, *texts.fieldNames())).alias("value"), F.when(F.col("_bad").isNull(), raw).alias("r"))
+        text = read.select(F.coalesce("_bad", F.concat_ws(sep, *texts.fieldNames())).alias("value"), F.when(F.col("_bad").isNull(), raw).alias("r"), F.lit(True).alias("esc"))
     else:
         text = (spark.read.option("lineSep", line) if line else spark.read).text(path)
         if skip:
@@ -75,22 +75,23 @@ def load(
             first = at.where("_b = 0").groupBy("_f").agg(F.min("_n").alias("_first"))
             text = at.join(first, "_f", "left").where((F.col("_b") > 0) | (F.col("_n") >= F.col("_first") + skip)).select("value")
         hidden = F.when(F.instr("value", escape) > 0, _hide(F.col("value"), sep, quote, escape)).otherwise(F.col("value"))
-        cut = F.split(F.col("h"), f"\\Q{sep}\\E", -1)
+        cut = F.split(F.col("h"), sep if len(sep) == 1 and (sep.isalnum() or sep.isspace()) else "\\" + sep if len(sep) == 1 else f"\\Q{sep}\\E", -1)
         if quote:
             # one field more is read, so that a row with too many fields shows
             csv = F.from_csv(F.col("h"), ", ".join(f"f{i} string" for i in range(len(names) + 1)), options)
             held = F.array(*[F.coalesce(csv[f"f{i}"], F.lit("")) for i in range(len(names))])
             cut = F.when(F.instr("h", quote) > 0, F.when(csv[f"f{len(names)}"].isNull(), held)).otherwise(cut)
-        text = text.select("value", hidden.alias("h")).select("value", cut.alias("r"))
+        text = text.select("value", hidden.alias("h"), (F.instr("value", escape) > 0).alias("esc")).select("value", "esc", cut.alias("r"))
     fits = F.coalesce(F.size("r") == len(names), F.lit(False))
-    field = lambda i: F.when(fits & (F.col("r")[i] != null), F.when(F.length(F.translate(F.col("r")[i], escape + _STAND, "")) < F.length(F.col("r")[i]), _show(F.col("r")[i], sep, quote, escape)).otherwise(F.col("r")[i]))
+    field = lambda i: F.when(fits & (F.col("r")[i] != null), F.when(F.col("esc"), _show(F.col("r")[i], sep, quote, escape)).otherwise(F.col("r")[i]))
     rows = text.select("value", fits.alias("fits"), *[field(i).alias(f"t{i}") for i in range(len(names))])
     typed = [F.col(f"t{i}") if isinstance(t, T.StringType) else F.col(f"t{i}").try_cast(t) for i, t in enumerate(kinds)]
     bad = ~F.col("fits")
     for i, v in enumerate(typed):
         if not isinstance(kinds[i], T.StringType):
             bad = bad | (F.col(f"t{i}").isNotNull() & v.isNull())
-    parsed = rows.select(*[v.alias(c) for c, v in zip(names, typed, strict=True)], F.when(bad, F.col("value")).alias("_bad"))
+    # a generator, so that the filter on bad rows is not pushed below and does all the work again
+    parsed = rows.select(F.inline(F.array(F.struct(*[v.alias(c) for c, v in zip(names, typed, strict=True)], F.when(bad, F.col("value")).alias("_bad")))))
     if seen is not None:
         parsed = parsed.observe(seen, F.count(F.lit(1)).alias("rows"), F.count("_bad").alias("bad"))
     if reject_path or abort_count is not None or abort_share is not None:
