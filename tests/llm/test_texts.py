@@ -379,3 +379,38 @@ def test_short_pages_and_single_hosts(spark, tmp_path, hosts):
     rows = [(10 * n + i, t, h) for n, h in enumerate(hosts) for i, t in texts.items()]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"] for r in stuffing.p8_found(spark, str(tmp_path)).collect()} == {10 * n + i for n in range(len(hosts)) for i in (1, 3)}
+
+
+def found_pages(spark, path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
+    return {r["doc_id"] for r in stuffing.p8_found(spark, str(path)).collect()}
+
+
+def listing(seed):
+    r = random.Random(seed)
+    goods = "boots hats coats wigs blinds loans phones carpets boilers tonics watches hotels".split()
+    return "".join(f"{r.choice(['cheap', 'best', 'free'])} {a} {b} http://{a}{i}-{b}.example/p{i}\n" for i in range(4) for a, b in zip(goods, r.sample(goods, 12)))
+
+
+def test_lists_of_other_hosts_decide_unsure_lines(spark, tmp_path):
+    # half of the lines are sentences, so neighbours say nothing else of the lines between them
+    between = lambda lines: "".join(f"{line}\nIt was a mill.\n" for line in lines)
+    goods = ["cheap boots hats coats wigs blinds", "best loans phones carpets boilers", "free tonics watches hotels boots", "cheap carpets coats loans wigs"]
+    prose = ["seven kettles remained unsold yesterday", "heavy clouds gathered over Norton", "children played near Weston bridge", "bakers closed early before Tuesday"]
+    other = "kissamme istui ikkunalla katsellen lintuja\nvanha mylly seisoi hiljaa joen rannalla\nlapset juoksivat nauraen pitkin polkua\nilta saapui tummana metsän ylle\n"
+    rows = [(1, listing(1), "a"), (2, listing(2), "b"), (3, between(goods), "c"), (4, between(prose), "c"), (5, other, "a"), (6, other, "b")]
+    assert found_pages(spark, tmp_path, rows) == {1, 2, 3}
+
+
+def test_lists_in_another_order_are_the_same_evidence(spark, tmp_path):
+    # links alone, and links behind goods: no five types in a row are the same
+    goods = "".join(f"boots{i} Norton >> http://{w}-mill.example/p{i}\n" for i, w in enumerate(WORDS))
+    assert found_pages(spark, tmp_path, [(1, SPAM["links"] * 3, "a"), (2, goods, "b"), (3, ARTICLE * 3, "b")]) == {1, 2}
+
+
+def test_words_more_usual_outside_lists_are_no_evidence(spark):
+    rows = [(1, listing(1) + "Norton http://one.example/p1\n", "a"), (2, listing(2) + "Norton http://two.example/p2\n", "b"), (3, "cheap hats", "c")]
+    rows += [(100 + i, "Norton\n" + "It was a mill.\n" * 4, "c") for i in range(60)]
+    got = {r["doc_id"]: r for r in stuffing.page_evidence(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").collect()}
+    assert all(got[i]["n_phrases"] == 1 and got[i]["n_replicated"] == 0 for i in range(100, 160))
+    assert got[3]["n_replicated"] == got[3]["n_phrases"] == 2 and got[3]["s_replicated"] == got[3]["n_signs"]
